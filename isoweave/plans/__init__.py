@@ -1,6 +1,5 @@
 """Registered queries over the driver's tables and the SQL that they are held against."""
 
-from __future__ import annotations
+from .catalog import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]
