@@ -14,8 +14,8 @@ from array import array
 
 import numpy as np
 
-#: Units a cache holds before it is emptied, and the longest unit that it keeps.
-CACHE_UNITS, CACHE_CHARS = 400_000, 64
+#: Units that a cache holds at most, and the longest unit that it keeps.
+CACHE_UNITS, CACHE_CHARS = 500_000, 64
 
 #: Id that ends a document in packed sequences and id files.
 END_ID = 2
@@ -34,18 +34,22 @@ def pack_ids(ids) -> bytes:
 
 
 class UnitCache(dict):
-    """unit -> ids; fills itself through encode()."""
+    """unit -> ids; fills itself through encode(). Of two halves the older one goes when the newer is full."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, unit: str) -> bytes:
-        ids = self.encode(unit)
-        if len(unit) <= CACHE_CHARS:
-            if len(self) >= CACHE_UNITS:
-                self.clear()
-            self[unit] = ids
+        if (ids := self.older.get(unit)) is None:
+            ids = self.encode(unit)
+            if len(unit) > CACHE_CHARS:
+                return ids
+        if len(self) >= CACHE_UNITS // 2:
+            self.older = dict(self)
+            self.clear()
+        self[unit] = ids
         return ids
 
 
@@ -65,7 +69,7 @@ def _load(path: str):
 #: The two files' own patterns, and the letters up to which regex and the library agree for certain.
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = re.compile("[\x00-\x7f\xa1-\u024f\u2010-\u2027]*")
+_PLAIN = re.compile("[\x00-\x7f\xa1-\u012f\u0132-\u024f\u2010-\u2027]*")
 
 
 def _alphabet() -> dict[int, str]:
@@ -112,6 +116,10 @@ class ByteLevelEncoder(_Encoder):
         super().__init__(path, _BYTE_LEVEL)
 
     def _unit(self, unit: str) -> bytes:
+        if unit.isalpha() and _PLAIN.fullmatch(unit):
+            return self.word(" " + unit)
+        if unit[:-1].isalpha() and unit[-1] in ".,;:!?" and _PLAIN.fullmatch(unit):
+            return self.word(" " + unit[:-1]) + self.word(unit[-1])
         line = unit.startswith("\n")
         body = unit[1:] if line else unit
         if body != body.strip() or not (body or line):
@@ -142,9 +150,14 @@ class WordEncoder(_Encoder):
     def _unit(self, unit: str) -> bytes:
         if not unit:
             return b""
-        if not _PLAIN.fullmatch(unit):
+        if not _PLAIN.fullmatch(unit):  # what is left has no combining marks, so that it is in normal form
             return self._library(unit)
-        return b"".join(map(self.word, self.cut(unit.lower() if unit.isascii() else self.tok.normalizer.normalize_str(unit))))
+        low = unit.lower()
+        if low.isalpha():
+            return self.word(low)
+        if low[:-1].isalpha() and low[-1] in ".,;:!?":
+            return self.word(low[:-1]) + self.word(low[-1])
+        return b"".join(map(self.word, self.cut(low)))
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.join, text.replace("\n", " ").split(" ")))
