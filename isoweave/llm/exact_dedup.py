@@ -94,7 +94,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = rows.join(hits.select("digest", "n_bytes", F.col("keep.at").alias("keep_at")), ["digest", "n_bytes"]).select("digest", "n_bytes", "doc_id", "at", "keep_at", "norm")
     texts = written(texts, "hits")
     kept = texts.where("at = keep_at").select("digest", "n_bytes", F.col("norm").alias("keep_norm"))
-    odd = written(texts.where("at != keep_at").join(kept, ["digest", "n_bytes"]).where("norm != keep_norm").select("digest", "n_bytes").distinct(), "collisions")
+    odd = written(texts.where("at != keep_at").join(kept, ["digest", "n_bytes"]).where("norm != keep_norm").select("digest", "n_bytes"), "collisions")
     out = arrivals.join(groups, ["digest", "n_bytes"])
     cols = ["doc_id", "at", F.col("keep.doc_id").alias("keep_id"), F.col("keep.at").alias("keep_at"), "group_size", F.expr("at = keep.at").alias("kept"), "text_sha256"]
     if odd.isEmpty():
