@@ -180,7 +180,7 @@ def _across(rows: DataFrame, most: int, percent: int, best_only: bool) -> DataFr
     return compare_within(rows, compare, "a long, b long", _PAIR).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", best_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", best_rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
     Rows with fewer than k words have their whole sequence as one shingle; rows without a word or text have no
