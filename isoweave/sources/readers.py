@@ -63,7 +63,8 @@ def abundances(spark: SparkSession, path: str, cells: list[str]) -> DataFrame:
 def read_depth(spark: SparkSession, path: str) -> DataFrame:
     """(cell, ercc, cellular, other) of the transposed depth table, by row label."""
     wide = spark.read.csv(path, header=True)
-    label, *cells = wide.columns
+    label, cells = "_label", wide.columns[1:]
+    wide = wide.toDF(label, *cells)  # the first column is called Cell, as the result's
     names = {"ERCC Reads": "ercc", "Cell Reads": "cellular", "Unclassified Reads": "other"}
     long = wide.unpivot([label], cells, "cell", "value").where(F.col(label).isin(list(names)))
     return long.groupBy("cell").pivot(label, list(names)).agg(F.first(F.col("value").cast("double"))).withColumnsRenamed(names)
