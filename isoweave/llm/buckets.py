@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -24,15 +24,16 @@ def shared_buckets(rows: DataFrame, what: str) -> DataFrame:
     return written(rows.join(counts, "key"), what)
 
 
-def compare_within(rows: DataFrame, compare, schema: str, arrow_schema: pa.Schema) -> DataFrame:
+def compare_within(rows: DataFrame, compare, schema: str, arrow_schema: pa.Schema, blocks: Column | None = None) -> DataFrame:
     """Apply ``compare(group: pa.Table, left, right)`` to all pairs within each key of ``rows`` (key, id, n, ...).
 
     ``left`` and ``right`` are the group's positions whose pairs are asked for: both the same array for the pairs
-    within a block, else those of two blocks. Every pair of rows of a key is asked for once.
+    within a block, else those of two blocks. Every pair of rows of a key is asked for once. ``blocks``: the number
+    of blocks that a key is dealt into, where that isn't n / BLOCK; it is the same in all rows of a key.
     """
     spark = rows.sparkSession
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = rows.withColumn("_nb", blocks).withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
+    own = rows.withColumn("_nb", (F.ceil(F.col("n") / BLOCK) if blocks is None else blocks).cast("int"))
+    own = own.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
     other = own.withColumn("_other", F.explode(F.expr("sequence(0, _nb - 1)")))
     dealt = other.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_nb", "_other")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,8 +8,8 @@ is left is confirmed on the full sets. Links make connected components.
 Texts with equal sets are one class from the start. Of a band's bucket each member is first confirmed against the
 least member; what is still apart is compared in blocks of bounded size, and only across components, best partners
 first. So a large group of near copies costs a few comparisons per member, and yet no link that matters is skipped:
-at the end every pair of a bucket that lies in two components and isn't ruled out by its sketch has been confirmed
-on the full sets.
+at the end the rows that a sketch can't tell from some row of another component bring their full sets to the blocks,
+where all pairs across components are confirmed. A block returns links that make a forest, never all its pairs.
 """
 
 from __future__ import annotations
@@ -35,6 +35,9 @@ WORDS = 300_000
 BROADCAST_IDS = 500_000
 _SIG = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Rows and shingles of a block whose rows bring their full sets, and cells of the matrices that count shared shingles.
+SET_ROWS, SET_SHINGLES, CELLS = 1024, 1 << 18, 1 << 22
+_LIVE = ("key", "id", "n", "volume", "n_shingles", "comp")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -153,33 +156,109 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * F.col("common") >= percent * union).select("a", "b")
 
 
-def _across(rows: DataFrame, most: int, percent: int, best_only: bool) -> DataFrame:
-    """Pairs of a bucket in two components that size and sketch don't rule out: all, or each row's best partner."""
+def _possible(group: pa.Table, left: np.ndarray, right: np.ndarray, most: int, percent: int):
+    """Slices of ``left`` with the sketches' differing bits to ``right``, and which pairs lie in two components and aren't ruled out."""
+    comp, size = (group.column(c).to_numpy() for c in ("comp", "n_shingles"))
+    bits = packed(group.column("sketch"), "u8")
+    for lo in range(0, len(left), 64):
+        l = left[lo : lo + 64]
+        differ = np.bitwise_count(bits[l][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int32)
+        small, large = np.minimum(size[l][:, None], size[right]), np.maximum(size[l][:, None], size[right])
+        yield l, differ, (comp[l][:, None] != comp[right]) & (differ <= most) & (100 * small >= percent * large)
+
+
+def _best_across(rows: DataFrame, most: int, percent: int) -> DataFrame:
+    """Each row's best partner (a, b) of another component in a bucket, if size and sketch leave one."""
 
     def compare(group: pa.Table, left: np.ndarray, right: np.ndarray):
-        ids, comp, size = (group.column(c).to_numpy() for c in ("id", "comp", "n_shingles"))
-        bits = packed(group.column("sketch"), "u8")
+        ids = group.column("id").to_numpy()
         x, y = [], []
-        for lo in range(0, len(left), 64):
-            l = left[lo : lo + 64]
-            differ = np.bitwise_count(bits[l][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int32)
-            small, large = np.minimum(size[l][:, None], size[right]), np.maximum(size[l][:, None], size[right])
-            ok = (comp[l][:, None] != comp[right]) & (differ <= most) & (100 * small >= percent * large)
-            if best_only:
-                differ[~ok] = SKETCH_BITS + 1
-                best = differ.argmin(axis=1)
-                i = np.flatnonzero(differ[np.arange(len(l)), best] <= SKETCH_BITS)
-                j = best[i]
-            else:
-                i, j = np.nonzero(ok if left is not right else ok & (l[:, None] < right))
+        for l, differ, ok in _possible(group, left, right, most, percent):
+            differ[~ok] = SKETCH_BITS + 1
+            best = differ.argmin(axis=1)
+            i = np.flatnonzero(differ[np.arange(len(l)), best] <= SKETCH_BITS)
             x.append(ids[l[i]])
-            y.append(ids[right[j]])
+            y.append(ids[right[best[i]]])
         x, y = np.concatenate(x), np.concatenate(y)
         return (np.minimum(x, y), np.maximum(x, y)) if len(x) else None
 
     return compare_within(rows, compare, "a long, b long", _PAIR).distinct()
 
 
+def _undecided(rows: DataFrame, most: int, percent: int) -> DataFrame:
+    """The rows (of _LIVE) that size and sketch can't tell from some row of another component in their bucket."""
+
+    def compare(group: pa.Table, left: np.ndarray, right: np.ndarray):
+        some = np.zeros(group.num_rows, bool)
+        for l, _, ok in _possible(group, left, right, most, percent):
+            some[l] |= ok.any(axis=1)
+            some[right] |= ok.any(axis=0)
+        at = np.flatnonzero(some)
+        return tuple(group.column(c).to_numpy()[at] for c in _LIVE) if len(at) else None
+
+    schema = pa.schema([(c, pa.int64()) for c in _LIVE])
+    return compare_within(rows, compare, ", ".join(f"{c} long" for c in _LIVE), schema).distinct()
+
+
+def shared_counts(values: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many values the sets of each pair of ``left`` and ``right`` share, if it has two sets; ``row``: the set that a value is of."""
+    order = np.argsort(values, kind="stable")
+    value, row = values[order], row[order]
+    new = np.r_[True, value[1:] != value[:-1]]
+    often = np.diff(np.r_[np.flatnonzero(new), len(value)]) > 1
+    word = np.cumsum(new) - 1
+    keep = often[word]
+    word, row = (np.cumsum(often) - 1)[word[keep]], row[keep]
+    rows = int(max(left.max(), right.max())) + 1
+    words = int(often.sum())
+    wide = min(words, max(256, CELLS // rows))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, words, wide or 1):
+        a, b = np.searchsorted(word, (lo, lo + wide))
+        cells = np.zeros((rows, wide), np.float32)
+        cells[row[a:b], word[a:b] - lo] = 1
+        out += cells[left] @ cells[right].T
+    return out.astype(np.int64)  # counts below 2**24 are exact in single precision
+
+
+def forest(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Positions of the links between components x and y that join what links before them have left apart."""
+    up: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (w := up.get(v, v)) != v:
+            up[v] = up.get(w, w)
+            v = w
+        return v
+
+    kept = []
+    for at, (v, w) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        v, w = root(v), root(w)
+        if v != w:
+            up[v] = w
+            kept.append(at)
+    return kept
+
+
+def _confirmed_within(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) on full sets that join all components which have a link within a bucket of ``rows`` (_LIVE)."""
+
+    def compare(group: pa.Table, left: np.ndarray, right: np.ndarray):
+        ids, comp, size = (group.column(c).to_numpy() for c in ("id", "comp", "n_shingles"))
+        if (comp == comp[0]).all():
+            return None
+        sets = group.column("shingles").combine_chunks()
+        shared = shared_counts(sets.flatten().to_numpy(), np.repeat(np.arange(len(ids)), size), left, right)
+        ok = (100 * shared >= percent * (size[left][:, None] + size[right] - shared)) & (comp[left][:, None] != comp[right])
+        i, j = np.nonzero(ok)
+        i, j = left[i], right[j]
+        kept = forest(comp[i], comp[j])
+        return (np.minimum(ids[i[kept]], ids[j[kept]]), np.maximum(ids[i[kept]], ids[j[kept]])) if kept else None
+
+    blocks = F.greatest(F.ceil(F.col("n") / SET_ROWS), F.ceil(F.col("volume") / SET_SHINGLES))
+    return compare_within(rows.join(sets, "id"), compare, "a long, b long", _PAIR, blocks).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", best_rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
@@ -211,18 +290,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         comps = written(components(links), "components")
         placed = written(nodes.select("id", "n_shingles", "sketch").join(comps, F.col("id") == F.col("node"), "left").select("id", "n_shingles", "sketch", F.coalesce("component", "id").alias("comp")), "placed")
         rows = banded.select("key", "id", "n").join(placed, "id")
-        apart = written(rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key"), "apart")
+        apart = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum("n_shingles").alias("volume"))
+        apart = written(apart.where("x != y").select("key", "volume"), "apart")
         if apart.isEmpty():
             return _labelled(sigs, members, comps)
         live = written(rows.join(apart, "key"), "live")
-        tried = _across(live, most, percent, best_only=turn < best_rounds).join(done, ["a", "b"], "left_anti")
-        tried = written(tried, "tried")
-        if tried.isEmpty() and turn == best_rounds:
-            return _labelled(sigs, members, comps)
-        done = done.unionByName(tried)
-        new = written(_confirmed(tried, sets, percent), "links")
-        if turn == best_rounds and new.isEmpty():
-            return _labelled(sigs, members, comps)
+        if turn < best_rounds:
+            tried = written(_best_across(live, most, percent).join(done, ["a", "b"], "left_anti"), "tried")
+            done = done.unionByName(tried)
+            new = written(_confirmed(tried, sets, percent), "links")
+        else:
+            new = written(_confirmed_within(written(_undecided(live, most, percent), "undecided"), sets, percent), "links")
+            if new.isEmpty():
+                return _labelled(sigs, members, comps)
         links = links.unionByName(new)
     return _labelled(sigs, members, written(components(links), "components"))
 

@@ -202,3 +202,21 @@ def test_pipeline_keeps_one_of_each(spark):
             assert {r.doc_id for r in docs.collect()} == set(before)
         seen[name] = len(before)
     assert list(seen) == [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_shared_counts_equal_intersections(monkeypatch):
+    """Counts over several matrices, also where no word is shared."""
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 900, rng.integers(1, 200))) for _ in range(40)]
+    values, row = np.concatenate(sets), np.repeat(np.arange(40), [len(s) for s in sets])
+    monkeypatch.setattr(near_dedup, "CELLS", 40)
+    for left, right in ((np.arange(40), np.arange(40)), (np.arange(15), np.arange(15, 40))):
+        want = np.array([[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left])
+        pair = left[:, None] != right  # what a set shares with itself isn't asked for
+        assert (near_dedup.shared_counts(values, row, left, right) == want)[pair].all()
+    assert not near_dedup.shared_counts(np.array([1, 2, 3]), np.array([0, 1, 2]), np.arange(3), np.arange(3)).any()
+
+
+def test_forest_joins_what_all_links_join():
+    x, y = np.array([1, 2, 1, 4, 5, 4]), np.array([2, 3, 3, 5, 6, 6])
+    assert near_dedup.forest(x, y) == [0, 1, 3, 4]
