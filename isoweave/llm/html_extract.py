@@ -1,28 +1,32 @@
 """Main-text extraction by equivalence classes of tokens over the pages of a host.
 
-A page is a sequence of tokens: its structural tags with their place in the tree, and its text blocks. Over a host's
-pages each token has an occurrence vector (its number on every page), kept as a fingerprint that aggregation
-builds from per-page hashes; tokens with equal vectors form a class. The class of the page's root, of what stands
-once on every page, nests all others: it is the host's template. Its tags cut pages into slots, and its text blocks
-(slogans, repeated captions) are template text, not content. What the slots of the main region hold is extracted.
-Regions that are named as furniture by their element, role, class or id are never slots of the main text.
+A page is a sequence of tokens: its tags, opening and closing, with their place in the tree, and its text blocks. Over
+a host's pages each token has an occurrence vector (its number on every page that has text), kept as a fingerprint
+that aggregation builds from per-page hashes. Tokens on SUPPORT of the pages and more form classes of equal vectors. A
+class is valid if on every page its tokens come in one order, over and over, and if it nests with the others: no class
+goes on within an instance of another and beyond it. An invalid class is split by the element that its tokens stand
+in, and the parts are checked likewise. The tokens of valid classes are the host's template; what lies between them
+are slots, and their text is extracted. Regions that are named as furniture by their element, role, class or id are
+left out beside that. A page without a template, or without any slot that holds text, gives its article or main region.
 """
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import re
+from collections import Counter, defaultdict
 from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, text_batches, written
 
-#: Pages a host needs for a template; template tokens up to so many are sent to all executors, more are joined.
-LEAST_PAGES, BROADCAST_TOKENS = 8, 100_000
+#: Pages a host needs for a template, share of them that a class needs; tokens up to so many are sent to all executors, more are joined.
+LEAST_PAGES, SUPPORT, BROADCAST_TOKENS = 8, 0.5, 100_000
 
 # Elements of HTML by their role here.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "canvas", "object", "select", "button", "xmp", "noembed", "noframes")
@@ -71,10 +75,16 @@ def _main(name: str, raw: str) -> int:
     return int(name == "main" or 'role="main"' in raw or "role='main'" in raw)
 
 
-def blocks(page: str) -> tuple[list[tuple[int, str, str]], list[str]]:
-    """([(region: 2 article, 1 main, 0 body; path; text)], paths of structural tags) of a page."""
+@functools.lru_cache(maxsize=4096)
+def _label(name: str, raw: str) -> str:
+    """An element's name with its classes and id; long numbers in them count as equal."""
+    named = [next(filter(None, v), "") for k, *v in _ATTR.findall(raw) if k.lower() in ("class", "id")] if "=" in raw else []
+    return ".".join([name, *(re.sub(r"\d{3,}", "#", w) for v in named for w in v.lower().split())])
+
+
+def blocks(page: str) -> list[tuple[int, str, str]]:
+    """[(region: 2 article, 1 main, 0 body, -1 for a tag; path of the element; text, or a tag's name)] of a page, in order."""
     out: list[tuple[int, str, str]] = []
-    tags: list[str] = []
     open_: list[tuple[str, bool, int, str]] = []  # name, furniture, region, path
     parts: list[str] = []
     skip = region = at = 0
@@ -90,6 +100,7 @@ def blocks(page: str) -> tuple[list[tuple[int, str, str]], list[str]]:
     def close(k: int) -> None:
         nonlocal skip, region, path
         flush()
+        out.extend((-1, x[3], "/") for x in reversed(open_[k:]))
         del open_[k:]
         skip = sum(x[1] for x in open_)
         region, path = (open_[-1][2], open_[-1][3]) if open_ else (0, "")
@@ -124,109 +135,192 @@ def blocks(page: str) -> tuple[list[tuple[int, str, str]], list[str]]:
             continue
         bad = _furniture(name, raw, region == 2)
         main = 0 if bad else _main(name, raw)
-        if name in VOID or raw.endswith("/") or not (bad or main or name in ("div", "section", "header", "body", "html", "ul", "ol", "table", "li", "p")):
+        alone = name in VOID or raw.endswith("/") or not (bad or main or name in ("div", "section", "header", "body", "html", "ul", "ol", "table"))
+        if alone:  # p and li end by themselves
+            if name in BLOCKS:
+                out.append((-1, path, _label(name, raw)))
             continue
-        if name == "p" and not bad or name == "li" and not bad:
-            continue  # ends by itself
-        open_.append((name, bad, max(region, main), f"{path}/{name}"))
-        tags.append(f"{path}/{name}")
         flush()
+        open_.append((name, bad, max(region, main), f"{path}/{_label(name, raw)}"))
+        out.append((-1, open_[-1][3], ""))
         skip += bad
         region, path = open_[-1][2], open_[-1][3]
     if at < len(page) and not skip:
         parts.append(page[at:])
     flush()
-    return out, tags
+    return out
 
 
 def _token(*parts: str) -> int:
     return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def text_token(path: str, text: str) -> int:
-    return _token("text", path, text)
+def tokens_of(found: list[tuple[int, str, str]]) -> list[int]:
+    return [_token("tag" if r < 0 else "text", p, t) for r, p, t in found]
 
 
 ROOT = _token("root")
-_SEEN = pa.schema([("host", pa.string()), ("token", pa.int64()), ("is_text", pa.bool_()), ("vector", pa.int64())])
+_SEEN = pa.schema([("host", pa.string()), ("token", pa.int64()), ("place", pa.int64()), ("vector", pa.int64())])
+_ORDER = pa.schema([("host", pa.string()), ("class", pa.int64()), ("period", pa.int64())])
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """(host, token, is_text, vector: hash of page and number) of each page's distinct tokens."""
+    """(host, token, place: hash of its element, vector: hash of page and number) of each page's distinct tokens; pages without text have none."""
 
     def run(batches):
-        from collections import Counter
-
         for batch in batches:
             cols: dict[str, list] = {f.name: [] for f in _SEEN}
             for key, url, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                host = host_of(url)
-                found, tags = blocks(page or "")
-                top = max((r for r, _, _ in found), default=0)
-                seen = Counter({(ROOT, False): 1})
-                seen.update((_token("tag", t), False) for t in tags)
-                seen.update((text_token(p, t), True) for r, p, t in found if r == top)
-                for (token, is_text), n in seen.items():
-                    for c, v in zip(cols.values(), (host, token, is_text, _token(str(key), str(n))), strict=True):
+                host, found = host_of(url), blocks(page or "")
+                if all(r < 0 for r, _, _ in found):
+                    continue
+                places = {p: _token("place", p) for _, p, _ in found}
+                seen = Counter([(ROOT, 0), *((t, places[f[1]]) for t, f in zip(tokens_of(found), found, strict=True))])
+                vectors = {n: _token(str(key), str(n)) for n in set(seen.values())}
+                for (token, place), n in seen.items():
+                    for c, v in zip(cols.values(), (host, token, place, vectors[n]), strict=True):
                         c.append(v)
             yield arrow_rows(_SEEN, cols)
 
     key = F.xxhash64("page_id", "url", "html")
-    return pages.select(key.alias("key"), "url", "html").mapInArrow(run, "host string, token long, is_text boolean, vector long")
+    return pages.select(key.alias("key"), "url", "html").mapInArrow(run, "host string, token long, place long, vector long")
+
+
+def classes(pages: DataFrame) -> DataFrame:
+    """(host, token, df, whole, whole_size, part, part_size): the class of each token with enough pages, and its part of it in the token's element."""
+    tokens = occurrences(pages).groupBy("host", "token").agg(F.min("place").alias("place"), F.count("*").alias("df"), F.bit_xor("vector").alias("print"))
+    tokens = written(tokens.where(f"df >= {LEAST_PAGES} * {SUPPORT}"), "page-tokens")
+    n = tokens.where((F.col("token") == ROOT) & (F.col("df") >= LEAST_PAGES)).select("host", F.col("df").alias("pages"))
+    kept = tokens.where(F.col("token") != ROOT).join(n, "host").where(F.col("df") >= F.col("pages") * SUPPORT)
+    kept = kept.withColumn("whole", F.xxhash64("df", "print")).withColumn("part", F.xxhash64("df", "print", "place"))
+    sizes = [F.count("*").over(Window.partitionBy("host", c)).alias(f"{c}_size") for c in ("whole", "part")]
+    return kept.select("host", "token", "df", "whole", sizes[0], "part", sizes[1])
+
+
+def orders(tokens: list[int], known: dict[int, tuple[int, int, int]]) -> dict[int, int | None]:
+    """Class -> period of a page's tokens in it, None where they don't repeat one order or cross a class of more pages; ``known``: token -> (class, size, df)."""
+    own: dict[int, list[int]] = defaultdict(list)
+    left: dict[int, int] = {}  # tokens that an open instance lacks, outermost class first
+    df: dict[int, int] = {}
+    crossed = set()
+    for t in tokens:
+        if t not in known:
+            continue
+        c, size, pages = known[t]
+        own[c].append(t)
+        df[c] = pages
+        if c in crossed or size == 1:
+            continue
+        if c not in left:
+            left[c] = size - 1
+            continue
+        while (top := next(reversed(left))) != c:
+            worse = top if df[top] <= pages else c
+            crossed.add(worse)
+            del left[worse]
+            if worse == c:
+                break
+        if c in left:
+            left[c] -= 1
+            if not left[c]:
+                del left[c]
+    found: dict[int, int | None] = {}
+    for c, seq in own.items():
+        k = known[seq[0]][1]
+        period = seq[:k]
+        good = c not in crossed and len(set(period)) == k and seq == period * (len(seq) // k)
+        found[c] = _token(*map(str, period)) if good else None
+    return found
+
+
+def _mapped(rows: DataFrame, known: DataFrame, prepare, use, schema: pa.Schema, ddl: str) -> DataFrame:
+    """``use(columns, page_id, url, html, host, prepare(its host's rows of known))`` for all rows; ``known`` is a written table, a host's rows in it are bounded by the tokens of two pages."""
+    spark, fields = rows.sparkSession, [c for c in known.columns if c != "host"]
+    if known.count() <= BROADCAST_TOKENS:
+        held: dict[str, list] = defaultdict(list)
+        for r in known.collect():
+            held[r.host].append(tuple(r[c] for c in fields))
+        sent = spark.sparkContext.broadcast(dict(held))
+
+        def run(batches):
+            ready: dict = {}
+            for batch in batches:
+                cols: dict[str, list] = {f.name: [] for f in schema}
+                for page_id, url, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    host = host_of(url)
+                    if host not in ready:
+                        ready[host] = prepare(sent.value.get(host, ()))
+                    use(cols, page_id, url, page or "", host, ready[host])
+                yield arrow_rows(schema, cols)
 
+        return rows.mapInArrow(run, ddl)
 
-def template_text(pages: DataFrame) -> DataFrame:
-    """(host, token) of the text blocks in the class of each host's root: once on every page, of LEAST_PAGES or more."""
-    tokens = occurrences(pages).groupBy("host", "token").agg(F.bool_or("is_text").alias("is_text"), F.count("*").alias("df"), F.bit_xor("vector").alias("print"))
-    tokens = written(tokens, "page-tokens").where(f"df >= {LEAST_PAGES}")
-    root = tokens.where(F.col("token") == ROOT).select("host", "df", "print")
-    return tokens.where("is_text").join(root, ["host", "df", "print"]).select("host", "token")
+    def run_joined(batches):
+        for batch in batches:
+            cols: dict[str, list] = {f.name: [] for f in schema}
+            for page_id, url, page, own in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                use(cols, page_id, url, page or "", host_of(url), prepare([tuple(x[c] for c in fields) for x in own or ()]))
+            yield arrow_rows(schema, cols)
+
+    @F.pandas_udf("string")
+    def hosts(urls: pd.Series) -> pd.Series:
+        return urls.map(host_of)
+
+    per_host = written(known.groupBy("host").agg(F.collect_list(F.struct(*fields)).alias("own")), "host-tokens")
+    joined = rows.withColumn("host", hosts("url")).join(per_host, "host", "left")
+    return joined.select("page_id", "url", "html", "own").mapInArrow(run_joined, ddl)
+
+
+def template(rows: DataFrame) -> DataFrame:
+    """(host, token) of the valid classes; of an invalid one those of its valid parts."""
+    known = written(classes(rows), "token-classes")
+
+    def prepare(own):
+        return {t: (w, n, df) for t, df, w, n, _, _ in own}, {t: (p, n, df) for t, df, _, _, p, n in own}
+
+    def use(cols, page_id, url, page, host, own):
+        if not own[0]:
+            return
+        found = blocks(page)
+        if all(r < 0 for r, _, _ in found):
+            return
+        tokens = tokens_of(found)
+        for c, period in {**orders(tokens, own[0]), **orders(tokens, own[1])}.items():
+            for col, v in zip(cols.values(), (host, c, period), strict=True):
+                col.append(v)
+
+    seen = _mapped(rows, known, prepare, use, _ORDER, "host string, class long, period long")
+    valid = seen.groupBy("host", "class").agg(F.count_if(F.col("period").isNull()).alias("bad"), F.min("period").alias("a"), F.max("period").alias("b")).where("bad = 0 and a = b").select("host", "class")
+    valid = written(valid, "valid-classes")
+    of = [valid.select("host", F.col("class").alias(c), F.lit(True).alias(f"{c}_valid")) for c in ("whole", "part")]
+    return known.join(of[0], ["host", "whole"], "left").join(of[1], ["host", "part"], "left").where("whole_valid or part_valid").select("host", "token")
 
 
 def main_text(page: str | None, template: frozenset | set = frozenset()) -> str:
-    """Blocks of the article, else of the main region, else of the body, without template text, one per line."""
-    found, _ = blocks(page or "")
+    """Blocks of a page's slots, one per line; without any, those of the article, else of the main region, else of the body."""
+    found = blocks(page or "")
+    if template:
+        slots = [f[2] for f, token in zip(found, tokens_of(found), strict=True) if f[0] >= 0 and token not in template]
+        if slots:
+            return "\n".join(slots)
     top = max((r for r, _, _ in found), default=0)
-    kept = [(p, t) for r, p, t in found if r == top]
-    slots = [t for p, t in kept if text_token(p, t) not in template] if template else [t for _, t in kept]
-    return "\n".join(slots or [t for _, t in kept])
+    return "\n".join(t for r, _, t in found if r == top >= 0)
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars: code points) of every row of pages (page_id, url, html).
 
-    Null and empty pages have an empty text. Pages whose URL is null or has no host make up one host. A host whose
-    pages all hold the same blocks has no slots; its pages keep their text. Other columns are ignored.
+    Null and empty pages have an empty text. Pages whose URL is null or has no host make up one host. A page whose
+    blocks are all template text has no slots; it keeps its text. Other columns are ignored.
     """
-    spark = pages.sparkSession
-    text_batches(spark)
+    text_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    template = written(template_text(rows), "template-text")
-    ddl = "page_id long, url string, text string, n_chars long"
-    if template.count() <= BROADCAST_TOKENS:
-        known: dict[str, set] = {}
-        for r in template.collect():
-            known.setdefault(r.host, set()).add(r.token)
-        sent = spark.sparkContext.broadcast(known)
+    known = written(template(rows), "template-tokens")
 
-        def run(batches):
-            for batch in batches:
-                url = batch.column(1).to_pylist()
-                text = [main_text(h, sent.value.get(host_of(u), frozenset())) for u, h in zip(url, batch.column(2).to_pylist(), strict=True)]
-                yield arrow_rows(_OUT, {"page_id": batch.column(0), "url": url, "text": text, "n_chars": list(map(len, text))})
-
-        return rows.mapInArrow(run, ddl)
+    def use(cols, page_id, url, page, host, own):
+        text = main_text(page, own)
+        for col, v in zip(cols.values(), (page_id, url, text, len(text)), strict=True):
+            col.append(v)
 
-    def run_joined(batches):
-        for batch in batches:
-            text = [main_text(h, frozenset(t or ())) for h, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield arrow_rows(_OUT, {"page_id": batch.column(0), "url": batch.column(1), "text": text, "n_chars": list(map(len, text))})
-
-    @F.pandas_udf("string")
-    def hosts(urls: pd.Series) -> pd.Series:
-        return urls.map(host_of)
-
-    per_host = written(template.groupBy("host").agg(F.collect_set("token").alias("tokens")), "host-templates")  # at most one page's tokens
-    joined = rows.withColumn("host", hosts("url")).join(per_host, "host", "left")
-    return joined.select("page_id", "url", "html", "tokens").mapInArrow(run_joined, ddl)
+    return _mapped(rows, known, lambda own: frozenset(t for t, in own), use, _OUT, "page_id long, url string, text string, n_chars long")

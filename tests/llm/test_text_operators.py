@@ -117,3 +117,24 @@ def test_template_text_goes_and_copies_stay(spark):
     got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3].text == "Own text 3" and got[3].n_chars == 10
     assert got[55].text == "Share this story\nOwn text 0" and got[99].text == "" and got[100].text.startswith("Share")
+
+
+def test_template_of_equivalence_classes(spark):
+    """Boxes of unlisted names that a page lacks, that come twice or that change places go; text beside the article and text repeated on few pages stay."""
+    box = lambda name, text: f'<div class="{name}"><p>{text}</p></div>'
+    rows = []
+    for i in range(12):
+        a, b = box("x1", "Weather today"), box("x2", "Our partners")
+        parts = [b, a] if i % 2 else [a, b]
+        few = "<p>Seldom said</p>" if i < 3 else ""
+        rows.append((i, f"http://h.example/{i}", "".join([*parts, box("q7", "Top stories") if i else "", f"<article><p>Own {i}</p>{few}</article>", box("z", "Twice") * (1 + i % 2), f'<div class="post"><p>Beside {i}</p></div>'])))
+    rows += [(20, "http://h.example/e", ""), (21, "http://h.example/f", None), (22, "http://h.example/g", "<html></html>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Own {i}\n" + ("Seldom said\n" if i < 3 else "") + f"Beside {i}" for i in range(12)} | {20: "", 21: "", 22: ""}
+
+
+def test_orders_of_classes():
+    known = {t: (c, 2, df) for t, c, df in ((1, 10, 9), (2, 10, 9), (3, 20, 8), (4, 20, 8))}
+    assert None not in html_extract.orders([1, 3, 4, 2, 1, 2], known).values()
+    assert [c for c, p in html_extract.orders([1, 3, 2, 4], known).items() if p is None] == [20]
+    assert [c for c, p in html_extract.orders([1, 1, 2, 2, 3, 4], known).items() if p is None] == [10]
