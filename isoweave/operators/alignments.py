@@ -75,6 +75,24 @@ def sorted_by_name(reads: DataFrame) -> DataFrame:
     return reads.orderBy(sort_key(F.col("qname")), F.col("flag").bitwiseAND(READ1 | READ2))
 
 
+def ranked_by_name(reads: DataFrame) -> DataFrame:
+    """Reads with ``rank``, their place 1, 2, ... in natural order: a range-partitioned sort and prefix sums over its partitions.
+
+    The sorted rows are checkpointed, since a partition sorted anew could have other bounds; on the executors alone where
+    spark.checkpoint.dir is absent (tests in local mode).
+    """
+    at = sorted_by_name(reads).withColumn("_at", F.monotonically_increasing_id())
+    at = at.checkpoint() if reads.sparkSession.sparkContext.getCheckpointDir() else at.localCheckpoint()
+    part = F.shiftrightunsigned("_at", 33)
+    own = F.col("_at").bitwiseAND((1 << 33) - 1)
+    first, before = 0, []
+    for p, n in at.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row per partition
+        before.append((p, first))
+        first += n
+    starts = reads.sparkSession.createDataFrame(before, "_part long, _before long")
+    return at.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("rank", F.col("_before") + own + 1).drop("_at", "_part", "_before")
+
+
 def sorted_by_place(reads: DataFrame) -> DataFrame:
     return reads.orderBy("chrom", "pos", has(REVERSE))
 

@@ -665,9 +665,8 @@ def rmdup_pe(s, d):
 
 @query("SELECT qname, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS rank FROM (SELECT concat('r', cast(l_orderkey as varchar), '.', cast(l_linenumber as varchar)) AS qname, l_orderkey, l_linenumber FROM lineitem) WHERE l_orderkey % 10 = 1", "")
 def sort_natural(s, d):
-    r = views.reads(s, d).where("floor(read_id / 10) % 10 = 1").select("qname", "flag")
-    w = Window.orderBy(al.sort_key(F.col("qname")))  # a total rank is the result that is asked for
-    return r.select("qname", F.row_number().over(w).cast("long").alias("rank"))
+    r = views.reads(s, d).where("floor(read_id / 10) % 10 = 1").select("qname", "flag")  # the SQL's rows
+    return al.ranked_by_name(r).select("qname", "rank")
 
 
 @query(""", f AS (SELECT *, CASE WHEN flag & 16 != 0 THEN pos + 2 * a + gap ELSE pos END AS five, count(*) OVER (PARTITION BY pair) AS n FROM reads)
