@@ -295,9 +295,13 @@ def gene_overlap_label(s, d):
 # -- differential statistics
 
 
+def _by_sample(cells):
+    x = cells.selectExpr("asm", "path", "cell % 24 as sample", "case when cell % 24 < 8 then 'A' when cell % 24 < 16 then 'B' else 'C' end as `group`", "expr")
+    return x.groupBy("asm", "path", "sample", "group").agg(F.sum("expr").alias("expr"))
+
+
 def _asm_rows(s, d):
-    x = views.asm_long(s, d).where("cell < 72").selectExpr("asm", "path", "cell % 24 as sample", "case when cell % 24 < 8 then 'A' when cell % 24 < 16 then 'B' else 'C' end as `group`", "expr")
-    x = x.groupBy("asm", "path", "sample", "group").agg(F.sum("expr").alias("expr"))
+    x = _by_sample(views.asm_long(s, d).where("cell < 72"))  # the SQL's cells
     return x.withColumn("prop", F.coalesce(F.try_divide("expr", F.sum("expr").over(Window.partitionBy("asm", "sample"))), F.lit(0.0)))
 
 
@@ -566,7 +570,7 @@ def em_abundance(s, d):
             out += [(key[0], int(p), int(c), float(x), float(y)) for p, x, y in zip(wide.index, a, q, strict=True)]
         return pd.DataFrame(out, columns=["asm", "path", "sample", "abundance", "proportion"])
 
-    return _asm_rows(s, d).groupBy("asm").applyInPandas(run, "asm long, path long, sample long, abundance double, proportion double")
+    return _by_sample(views.asm_long(s, d)).groupBy("asm").applyInPandas(run, "asm long, path long, sample long, abundance double, proportion double")
 
 
 @query()

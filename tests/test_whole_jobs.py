@@ -19,3 +19,23 @@ def test_rank_of_all_reads_by_name(spark):
     assert sorted(r.rank for r in ranked.collect()) == list(range(1, len(names) + 1))
     assert "Window" not in ranked._jdf.queryExecution().toString()
     assert alignments.ranked_by_name(reads.select("qname", "flag").limit(0)).count() == 0
+
+
+def test_em_takes_all_cells(spark):
+    import numpy as np
+
+    from isoweave.functions import kernels
+    from isoweave.plans import QUERIES
+
+    cells = views.asm_long(spark, SF).toPandas()
+    cells["sample"] = cells.cell % 24
+    want = {}
+    for asm, rows in cells.groupby("asm"):
+        wide = rows.groupby(["path", "sample"]).expr.sum().unstack()
+        paths = np.tril(np.ones((len(wide), len(wide))))
+        for c in wide.columns:
+            a, _ = kernels.em_abundance(paths, paths.T @ wide[c].to_numpy(), np.full(len(wide), 100.0))
+            want |= {(asm, p, c): v for p, v in zip(wide.index, a, strict=True)}
+    got = {(r.asm, r.path, r.sample): r.abundance for r in QUERIES["em_abundance"](spark, SF).collect()}
+    assert cells.cell.max() == 79 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) <= 1e-6 * max(1, abs(want[k])) for k in want)
