@@ -542,14 +542,14 @@ def glm_noise_fit(s, d):
 
 @query()
 def null_variance_test(s, d):
-    return ra.null_variance(ra.observed(_cells(s, d)), _NOISE, 80, 200)
+    return ra.null_variance(ra.observed(_cells(s, d)), _NOISE, 80)
 
 
 @query()
 def ratio_tests(s, d):
     norm, paths = _paths(s, d)
     level = norm.groupBy("asm", "path").agg(F.avg("norm").alias("m")).agg(F.percentile("m", F.lit(0.5))).first()[0]
-    return ra.ratio_tests(views.asm_long(s, d), views.depth(s, d), _stages(s, d), _NOISE, level, 10, 200)
+    return ra.ratio_tests(views.asm_long(s, d), views.depth(s, d), _stages(s, d), _NOISE, level, 10)
 
 
 # -- kernels

@@ -39,3 +39,15 @@ def test_em_takes_all_cells(spark):
     got = {(r.asm, r.path, r.sample): r.abundance for r in QUERIES["em_abundance"](spark, SF).collect()}
     assert cells.cell.max() == 79 and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) <= 1e-6 * max(1, abs(want[k])) for k in want)
+
+
+def test_simulations_as_documented(spark):
+    from isoweave.operators import ratio
+    from isoweave.plans import QUERIES, catalog
+
+    key = lambda r: (r.asm, r.path_1, r.path_2)
+    want = {key(r): (r.expected, r.p) for r in ratio.null_variance(ratio.observed(catalog._cells(spark, SF)), catalog._NOISE, 80, 1000).collect()}
+    null = {key(r): (r.expected, r.p) for r in QUERIES["null_variance_test"](spark, SF).collect()}
+    tests = {key(r): (r.expected, r.variance_p) for r in QUERIES["ratio_tests"](spark, SF).collect()}
+    assert want and repr(sorted(null.items())) == repr(sorted(want.items())) and tests.keys() == want.keys()
+    assert all(abs(a - b) <= 1e-9 for k in want for a, b in zip(tests[k], want[k], strict=True) if a == a or b == b)
