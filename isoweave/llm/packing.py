@@ -25,8 +25,8 @@ from .tokenizers import END_BYTES, word_level
 
 #: Ids that a sequence has; ids that a shard holds at least (a document is never split between shards).
 WINDOW, SHARD_IDS = 4096, 4_000_000
-#: BM25's usual constants, and how many of a seed's heaviest terms make its query.
-K1, B, QUERY_TERMS = 1.2, 0.75, 32
+#: BM25's usual constants. A seed's query are all its distinct terms.
+K1, B = 1.2, 0.75
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
@@ -45,19 +45,26 @@ class Index:
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1e-9))
         self.weight = (np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
-        by_doc = np.lexsort((-self.weight, self.doc))
-        term_of = np.repeat(np.arange(len(self.terms)), df)[by_doc]
-        ends = np.cumsum(np.bincount(self.doc, minlength=n))
-        #: each document's heaviest terms, as positions in self.terms
-        self.query = [term_of[e - c : e - c + QUERY_TERMS] for e, c in zip(ends, np.bincount(self.doc, minlength=n), strict=True)]
-        self.n = n
+        term_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), df)[np.argsort(self.doc, kind="stable")]
+        #: each document's distinct terms, as positions in self.terms
+        self.query = np.split(term_of, np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
+        self.n, self.left = n, n
+
+    def _forget(self, unused: np.ndarray, left: int) -> None:
+        """Drop the postings of used documents, which no query returns again; weights stay."""
+        kept = unused[self.doc]
+        self.bounds = np.concatenate([[0], np.cumsum(kept)])[self.bounds]
+        self.doc, self.weight, self.left = self.doc[kept], self.weight[kept], left
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with the seed, best first; ties in order of the shard."""
-        spans = [slice(self.bounds[t], self.bounds[t + 1]) for t in self.query[seed]]
-        if not spans:
-            return np.empty(0, np.int64)
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        """Unused documents that share a term with the seed, best first; ties in order of the shard."""
+        left = int(unused.sum())
+        if 4 * left < 3 * self.left:
+            self._forget(unused, left)
+        first = self.bounds[self.query[seed]]
+        size = self.bounds[self.query[seed] + 1] - first
+        at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        score = np.bincount(self.doc[at], self.weight[at], self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 

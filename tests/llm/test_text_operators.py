@@ -138,3 +138,21 @@ def test_orders_of_classes():
     assert None not in html_extract.orders([1, 3, 4, 2, 1, 2], known).values()
     assert [c for c, p in html_extract.orders([1, 3, 2, 4], known).items() if p is None] == [20]
     assert [c for c, p in html_extract.orders([1, 1, 2, 2, 3, 4], known).items() if p is None] == [10]
+
+
+def test_neighbours_by_all_terms_of_a_seed():
+    """BM25 by brute force over long documents, also after used documents' postings are gone."""
+    rng = np.random.default_rng(4)
+    flat = [rng.integers(0, 900, rng.integers(1, 400)).astype(np.uint32) for _ in range(60)]
+    n, mean, sets = len(flat), np.mean([len(d) for d in flat]), [set(d.tolist()) for d in flat]
+    index, unused = packing.Index(flat), np.ones(n, bool)
+    for seed in rng.permutation(n)[:40]:
+        unused[seed] = False
+        want = {}
+        for d in np.flatnonzero(unused):
+            shared = sets[seed] & sets[d]
+            if shared:
+                parts = [(sum(t in s for s in sets), int((flat[d] == t).sum())) for t in shared]
+                want[d] = sum(np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(flat[d]) / mean)) for df, tf in parts)
+        got = index.neighbours(int(seed), unused)
+        assert set(got.tolist()) == set(want) and all(want[a] >= want[b] - 1e-4 for a, b in zip(got, got[1:]))
