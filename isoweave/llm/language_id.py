@@ -122,11 +122,11 @@ def held_out(doc_id):
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most ``rows`` rows per language, those of smallest hash among the rows that aren't held out.
 
-    Language counts come from all rows; the hash bound that they give for each language leaves about twice the rows
-    that are wanted, of which the driver keeps the first.
+    Language counts come from the same usable rows; the hash bound that they give for each language leaves about twice
+    the rows that are wanted, of which the driver keeps the first.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(text_col).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in docs.where(F.col(lang_col).isNotNull()).groupBy(lang_col).count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     if not counts:
         return fit([], [])
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30))

@@ -220,3 +220,13 @@ def test_shared_counts_equal_intersections(monkeypatch):
 def test_forest_joins_what_all_links_join():
     x, y = np.array([1, 2, 1, 4, 5, 4]), np.array([2, 3, 3, 5, 6, 6])
     assert near_dedup.forest(x, y) == [0, 1, 3, 4]
+
+
+def test_language_with_few_usable_rows_is_learned(spark, monkeypatch):
+    """One row in a hundred of a large language has letters; the fit gets all of these, and no count of rows held out."""
+    fitted = []
+    monkeypatch.setattr(language_id, "fit", lambda texts, labels: fitted.append((texts, labels)))
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("und der "), F.col("id"))).otherwise(F.when(F.col("id") % 2 == 0, "12")).alias("text"), F.lit("de").alias("lang"))
+    language_id.train(df)
+    usable = df.where(F.col("text").contains("und") & ~language_id.held_out(F.col("doc_id"))).count()
+    assert usable < language_id.TRAIN_ROWS and len(fitted[0][0]) == usable
