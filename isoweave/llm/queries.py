@@ -55,21 +55,25 @@ def _counted(docs: DataFrame, byte_path: str, word_path: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches: words on arrival, revised to byte-level counts, then another tokenizer beside them.
+    """Totals after five batches: words on arrival, revised to byte-level counts, then another tokenizer beside them,
+    whose counts are deleted and inserted again.
 
-    The last batch is committed twice, as after a lost acknowledgement.
+    The third batch is committed twice, as after a lost acknowledgement; the first four are folded into one.
     """
     counts = written(_counted(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"), public_path("word_bpe_49k.json")), "token-counts")
     none_s, none_l = F.lit(None).cast("string"), F.lit(None).cast("long")
 
     def batch(op, version, tokens, old_version=none_s, old_tokens=none_l):
-        return counts.select("source", "lang", F.lit(op).alias("op"), F.lit(version).alias("version"), F.col(tokens).alias("tokens"), old_version.alias("old_version"), old_tokens.alias("old_tokens"))
+        return counts.select("source", "lang", F.lit(op).alias("op"), F.lit(version).cast("string").alias("version"), (F.col(tokens) if tokens else none_l).alias("tokens"), old_version.alias("old_version"), old_tokens.alias("old_tokens"))
 
     folder = shared_dir(spark, "token-rollup")
     token_rollup.commit(batch("insert", "words", "n_words"), folder, 0)
     token_rollup.commit(batch("revise", "byte_bpe_50k", "n_byte", F.lit("words"), F.col("n_words")), folder, 1)
     for _ in range(2):
         token_rollup.commit(batch("insert", "word_bpe_49k", "n_word"), folder, 2)
+    token_rollup.commit(batch("delete", None, None, F.lit("word_bpe_49k"), F.col("n_word")), folder, 3)
+    token_rollup.compact(spark, folder)
+    token_rollup.commit(batch("insert", "word_bpe_49k", "n_word"), folder, 4)
     return token_rollup.totals(spark, folder)
 
 

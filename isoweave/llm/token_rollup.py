@@ -3,7 +3,9 @@
 A change batch has a number and rows (op, source, lang, version, tokens, old_version, old_tokens); ``op`` is insert,
 delete or revise. A rollup folder holds one delta table per batch, made of sums by source, language and tokenizer
 version, so a batch's commit is one folder that is replaced when the batch is committed again: committing twice
-changes nothing. Totals are the sums over the committed deltas; compact() folds them into one.
+changes nothing. Totals are the sums over the committed deltas; compact() folds them into one, which has the number
+-1 - n for batches up to n. Batches are committed in order of their numbers: one up to n that comes after the folding
+counts as a repeated one and is left out.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "version")
-_SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long, batch int"
+_SCHEMA = "source string, lang string, version string, n_docs long, n_tokens long"
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -30,8 +32,35 @@ def commit(changes: DataFrame, folder: str, batch: int) -> None:
     deltas.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
 
 
-def totals(spark: SparkSession, folder: str) -> DataFrame:
-    """(source, lang, version, n_docs, n_tokens); keys whose documents are all gone are left out. Null keys are keys."""
-    deltas = spark.read.schema(_SCHEMA).parquet(folder)
+def _batches(spark: SparkSession, folder: str) -> tuple[list[int], list[int]]:
+    """Numbers of the batches that count (the last fold first, if there is one), and of those that it replaces."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    numbers = sorted(int(x[6:]) for x in names if x.startswith("batch="))
+    upto = -1 - numbers[0] if numbers and numbers[0] < 0 else -1
+    live = [b for b in numbers if b > upto or b == -1 - upto < 0]
+    return live, [b for b in numbers if b not in live]
+
+
+def _summed(spark: SparkSession, folder: str, batches: list[int]) -> DataFrame:
+    deltas = spark.read.schema(_SCHEMA).parquet(*(f"{folder}/batch={b}" for b in batches))
     summed = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
     return summed.where("n_docs != 0 or n_tokens != 0")
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """Fold all committed deltas into one and delete them; until the fold is written, and if it fails, they count as before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    live, _ = _batches(spark, folder)
+    if live and live[-1] >= 0:
+        _summed(spark, folder, live).write.mode("overwrite").parquet(f"{folder}/fold")
+        if not files.rename(path(f"{folder}/fold"), path(f"{folder}/batch={-1 - live[-1]}")):
+            raise OSError(f"{folder}/fold can't be renamed")
+    for b in _batches(spark, folder)[1]:
+        files.delete(path(f"{folder}/batch={b}"), True)
+
+
+def totals(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, lang, version, n_docs, n_tokens); keys whose documents are all gone are left out. Null keys are keys."""
+    return _summed(spark, folder, _batches(spark, folder)[0])

@@ -230,3 +230,21 @@ def test_language_with_few_usable_rows_is_learned(spark, monkeypatch):
     language_id.train(df)
     usable = df.where(F.col("text").contains("und") & ~language_id.held_out(F.col("doc_id"))).count()
     assert usable < language_id.TRAIN_ROWS and len(fitted[0][0]) == usable
+
+
+def test_rollup_folds_its_deltas(spark):
+    schema = "op string, source string, lang string, version string, tokens long, old_version string, old_tokens long"
+    folder = shared_dir(spark, "rollup-fold-test")
+    change = lambda *row: spark.createDataFrame([row], schema)
+    first, second = change("insert", "a", "en", "v1", 10, None, None), change("delete", "a", "en", None, None, "v1", 10)
+    token_rollup.commit(first, folder, 0)
+    token_rollup.commit(change("insert", "b", None, "v1", 7, None, None), folder, 1)
+    token_rollup.compact(spark, folder)
+    assert len(token_rollup._batches(spark, folder)[0]) == 1 and not token_rollup._batches(spark, folder)[1]
+    token_rollup.commit(first, folder, 0)  # repeated after the fold
+    assert {tuple(r) for r in token_rollup.totals(spark, folder).collect()} == {("a", "en", "v1", 1, 10), ("b", None, "v1", 1, 7)}
+    token_rollup.commit(second, folder, 2)
+    for _ in range(2):
+        assert {tuple(r) for r in token_rollup.totals(spark, folder).collect()} == {("b", None, "v1", 1, 7)}
+        token_rollup.compact(spark, folder)
+    assert token_rollup._batches(spark, folder) == ([-3], [])
