@@ -24,18 +24,22 @@ def shared_buckets(rows: DataFrame, what: str) -> DataFrame:
     return written(rows.join(counts, "key"), what)
 
 
-def compare_within(rows: DataFrame, compare, schema: str, arrow_schema: pa.Schema, blocks: Column | None = None) -> DataFrame:
+def compare_within(rows: DataFrame, compare, schema: str, arrow_schema: pa.Schema, blocks: Column | None = None, main: Column | None = None, main_blocks: Column | None = None) -> DataFrame:
     """Apply ``compare(group: pa.Table, left, right)`` to all pairs within each key of ``rows`` (key, id, n, ...).
 
     ``left`` and ``right`` are the group's positions whose pairs are asked for: both the same array for the pairs
     within a block, else those of two blocks. Every pair of rows of a key is asked for once. ``blocks``: the number
-    of blocks that a key is dealt into, where that isn't n / BLOCK; it is the same in all rows of a key.
+    of blocks that a key is dealt into, where that isn't n / BLOCK; it is the same in all rows of a key. Rows for which
+    ``main`` holds go to ``main_blocks`` blocks of their own and are compared with the other rows alone, so that a key
+    with many such rows and few others makes hardly more rows than it has.
     """
     spark = rows.sparkSession
     own = rows.withColumn("_nb", (F.ceil(F.col("n") / BLOCK) if blocks is None else blocks).cast("int"))
-    own = own.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
-    other = own.withColumn("_other", F.explode(F.expr("sequence(0, _nb - 1)")))
-    dealt = other.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_nb", "_other")
+    own = own.withColumns({"_main": F.lit(False) if main is None else main, "_nm": (F.lit(0) if main is None else main_blocks).cast("int")})
+    digest = F.xxhash64("id")
+    own = own.withColumn("_own", F.when(F.col("_main"), F.col("_nb") + F.pmod(digest, F.greatest("_nm", F.lit(1)))).otherwise(F.pmod(digest, F.col("_nb"))).cast("int"))
+    other = own.withColumn("_other", F.explode(F.expr("sequence(0, if(_main, _nb, _nb + _nm) - 1)")))
+    dealt = other.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_nb", "_nm", "_main", "_other")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(parts, "key", "_i", "_j").sortWithinPartitions("key", "_i", "_j", "id")
 
@@ -95,6 +99,11 @@ def _batches(found: list, schema: pa.Schema):
             yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 20_000], f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
+def as_bytes(column: pa.ChunkedArray, longs: int) -> np.ndarray:
+    """A column of arrays of so many longs as a matrix of bytes."""
+    return column.combine_chunks().flatten().to_numpy().view("u1").reshape(-1, 8 * longs)
+
+
 def packed(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
     """A column of binary values of one length as a matrix."""
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)

@@ -6,10 +6,12 @@ whose XOR population count with another's estimates how much of both sets is sha
 is left is confirmed on the full sets. Links make connected components.
 
 Texts with equal sets are one class from the start. Of a band's bucket each member is first confirmed against the
-least member; what is still apart is compared in blocks of bounded size, and only across components, best partners
-first. So a large group of near copies costs a few comparisons per member, and yet no link that matters is skipped:
-at the end the rows that a sketch can't tell from some row of another component bring their full sets to the blocks,
-where all pairs across components are confirmed. A block returns links that make a forest, never all its pairs.
+least member, then against the likeliest of PIVOTS rows of its bucket's largest component. What is still apart is
+compared in blocks of bounded size, best partners first, and only across components: rows of a bucket's largest
+component meet the bucket's other rows alone. So a large group of near copies costs a few comparisons per member, and
+yet no link that matters is skipped: at the end the rows that a sketch can't tell from some row of another component
+bring their full sets to the blocks, where all pairs across components are confirmed. A block returns links that make
+a forest, never all its pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import compare_within, packed, shared_buckets
+from .buckets import as_bytes, compare_within, shared_buckets
 from .common import arrow_rows, text_batches, written
 from .graph import components
 
@@ -33,11 +35,13 @@ SAMPLES = ROWS * BANDS
 WORDS = 300_000
 #: Candidate ids up to so many (8 bytes each) are broadcast to pick their texts, more are joined by shuffle.
 BROADCAST_IDS = 500_000
-_SIG = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+#: Rows of a bucket's largest component that its other rows are tried with, rows of a block that brings sketches.
+PIVOTS, SKETCH_ROWS = 8, 256
+_SIG = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 #: Rows and shingles of a block whose rows bring their full sets, and cells of the matrices that count shared shingles.
 SET_ROWS, SET_SHINGLES, CELLS = 1024, 1 << 18, 1 << 22
-_LIVE = ("key", "id", "n", "volume", "n_shingles", "comp")
+_LIVE = ("key", "id", "n_shingles", "comp")
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -128,11 +132,11 @@ def signatures(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str =
             if some:
                 mins = minhashes([sets[i] for i in some])
                 for i, keys, sketch in zip(some, band_keys(mins), odd_sketches(mins), strict=True):
-                    cols["class_key"][i], cols["bands"][i], cols["sketch"][i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), keys, sketch.tobytes()
+                    cols["class_key"][i], cols["bands"][i], cols["sketch"][i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), keys, sketch.view(np.int64)
             yield arrow_rows(_SIG, cols)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class_key binary, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, class_key binary, bands array<long>, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -159,7 +163,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _possible(group: pa.Table, left: np.ndarray, right: np.ndarray, most: int, percent: int):
     """Slices of ``left`` with the sketches' differing bits to ``right``, and which pairs lie in two components and aren't ruled out."""
     comp, size = (group.column(c).to_numpy() for c in ("comp", "n_shingles"))
-    bits = packed(group.column("sketch"), "u8")
+    bits = as_bytes(group.column("sketch"), SKETCH_BITS // 64).view("u8")
     for lo in range(0, len(left), 64):
         l = left[lo : lo + 64]
         differ = np.bitwise_count(bits[l][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int32)
@@ -167,6 +171,38 @@ def _possible(group: pa.Table, left: np.ndarray, right: np.ndarray, most: int, p
         yield l, differ, (comp[l][:, None] != comp[right]) & (differ <= most) & (100 * small >= percent * large)
 
 
+def _live(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, n_shingles, comp, ...) of buckets with several components: ``main`` marks those of the bucket's largest, n_main, n_rest, v_main, v_rest count rows and shingles."""
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("v"))
+    top = per.groupBy("key").agg(F.max(F.struct("c", "comp", "v")).alias("top"), F.sum("c").alias("n_all"), F.sum("v").alias("v_all"), F.count("*").alias("k")).where("k > 1")
+    top = top.select("key", F.col("top.comp").alias("main_comp"), F.col("top.c").alias("n_main"), (F.col("n_all") - F.col("top.c")).alias("n_rest"), F.col("top.v").alias("v_main"), (F.col("v_all") - F.col("top.v")).alias("v_rest"))
+    return rows.join(written(top, "apart"), "key").withColumn("main", F.col("comp") == F.col("main_comp")).drop("main_comp")
+
+
+def _best_pivots(live: DataFrame, most: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each row and the likeliest of the pivots of its buckets, if size and sketch leave one.
+
+    A bucket's pivots are rows of its largest component, the least ones by PIVOTS hashes.
+    """
+    draws = [F.xxhash64("id", F.lit(i)) for i in range(PIVOTS)]
+    main = live.where("main").select("key", "id", "n_shingles", "sketch", F.array(*draws).alias("draws"))
+    least = main.groupBy("key").agg(F.array(*(F.min(F.col("draws")[i]) for i in range(PIVOTS))).alias("least"))
+    chosen = main.join(least, "key").where(F.exists(F.zip_with("draws", "least", lambda x, y: x == y), lambda x: x))
+    pivots = written(chosen.groupBy("key").agg(F.collect_list(F.struct("id", "n_shingles", "sketch")).alias("pivots")), "pivots")
+    differ = lambda p: F.aggregate(F.zip_with("sketch", p["sketch"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = lambda p: 100 * F.least(p["n_shingles"], "n_shingles") >= percent * F.greatest(p["n_shingles"], "n_shingles")
+    tried = live.where("not main").select("key", "id", "n_shingles", "sketch").join(pivots, "key")
+    best = F.array_min(F.transform(F.filter("pivots", near), lambda p: F.struct(differ(p).alias("differ"), p["id"].alias("pivot"))))
+    best = tried.select("id", best.alias("best")).where(F.col("best.differ") <= most).groupBy("id").agg(F.min("best").alias("best"))
+    return best.select(F.least("id", "best.pivot").alias("a"), F.greatest("id", "best.pivot").alias("b")).distinct()
+
+
+def _blocks(rows: int, shingles: int | None = None) -> dict:
+    """Block numbers for compare_within over rows of _live()."""
+    count = lambda n, v: F.ceil(F.col(n) / rows) if shingles is None else F.greatest(F.ceil(F.col(n) / rows), F.ceil(F.col(v) / shingles))
+    return {"blocks": count("n_rest", "v_rest"), "main": F.col("main"), "main_blocks": count("n_main", "v_main")}
+
+
 def _best_across(rows: DataFrame, most: int, percent: int) -> DataFrame:
     """Each row's best partner (a, b) of another component in a bucket, if size and sketch leave one."""
 
@@ -182,7 +218,7 @@ def _best_across(rows: DataFrame, most: int, percent: int) -> DataFrame:
         x, y = np.concatenate(x), np.concatenate(y)
         return (np.minimum(x, y), np.maximum(x, y)) if len(x) else None
 
-    return compare_within(rows, compare, "a long, b long", _PAIR).distinct()
+    return compare_within(rows, compare, "a long, b long", _PAIR, **_blocks(SKETCH_ROWS)).distinct()
 
 
 def _undecided(rows: DataFrame, most: int, percent: int) -> DataFrame:
@@ -197,7 +233,7 @@ def _undecided(rows: DataFrame, most: int, percent: int) -> DataFrame:
         return tuple(group.column(c).to_numpy()[at] for c in _LIVE) if len(at) else None
 
     schema = pa.schema([(c, pa.int64()) for c in _LIVE])
-    return compare_within(rows, compare, ", ".join(f"{c} long" for c in _LIVE), schema).distinct()
+    return compare_within(rows, compare, ", ".join(f"{c} long" for c in _LIVE), schema, **_blocks(SKETCH_ROWS)).distinct()
 
 
 def shared_counts(values: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -241,7 +277,7 @@ def forest(x: np.ndarray, y: np.ndarray) -> list[int]:
 
 
 def _confirmed_within(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) on full sets that join all components which have a link within a bucket of ``rows`` (_LIVE)."""
+    """Links (a, b) on full sets that join all components which have a link within a bucket of ``rows`` (of _live())."""
 
     def compare(group: pa.Table, left: np.ndarray, right: np.ndarray):
         ids, comp, size = (group.column(c).to_numpy() for c in ("id", "comp", "n_shingles"))
@@ -255,11 +291,10 @@ def _confirmed_within(rows: DataFrame, sets: DataFrame, percent: int) -> DataFra
         kept = forest(comp[i], comp[j])
         return (np.minimum(ids[i[kept]], ids[j[kept]]), np.maximum(ids[i[kept]], ids[j[kept]])) if kept else None
 
-    blocks = F.greatest(F.ceil(F.col("n") / SET_ROWS), F.ceil(F.col("volume") / SET_SHINGLES))
-    return compare_within(rows.join(sets, "id"), compare, "a long, b long", _PAIR, blocks).distinct()
+    return compare_within(rows.join(sets, "id"), compare, "a long, b long", _PAIR, **_blocks(SET_ROWS, SET_SHINGLES)).distinct()
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", best_rounds: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row.
 
     Rows with fewer than k words have their whole sequence as one shingle; rows without a word or text have no
@@ -286,23 +321,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     links = written(_confirmed(first, sets, percent).unionByName(edges), "links")
     most = most_bits(percent / 100)
     done = written(first, "tried")
-    for turn in range(best_rounds + 1):
+    for turn in ("pivots", "best", "last"):
         comps = written(components(links), "components")
-        placed = written(nodes.select("id", "n_shingles", "sketch").join(comps, F.col("id") == F.col("node"), "left").select("id", "n_shingles", "sketch", F.coalesce("component", "id").alias("comp")), "placed")
-        rows = banded.select("key", "id", "n").join(placed, "id")
-        apart = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.sum("n_shingles").alias("volume"))
-        apart = written(apart.where("x != y").select("key", "volume"), "apart")
-        if apart.isEmpty():
+        placed = nodes.select("id", "n_shingles", "sketch").join(comps, F.col("id") == F.col("node"), "left")
+        placed = written(placed.select("id", "n_shingles", "sketch", F.coalesce("component", "id").alias("comp")), "placed")
+        live = written(_live(banded.select("key", "id").join(placed, "id")), "live")
+        if live.isEmpty():
             return _labelled(sigs, members, comps)
-        live = written(rows.join(apart, "key"), "live")
-        if turn < best_rounds:
-            tried = written(_best_across(live, most, percent).join(done, ["a", "b"], "left_anti"), "tried")
-            done = done.unionByName(tried)
-            new = written(_confirmed(tried, sets, percent), "links")
-        else:
-            new = written(_confirmed_within(written(_undecided(live, most, percent), "undecided"), sets, percent), "links")
+        if turn == "last":
+            new = written(_confirmed_within(_live(written(_undecided(live, most, percent), "undecided")), sets, percent), "links")
             if new.isEmpty():
                 return _labelled(sigs, members, comps)
+        else:
+            found = (_best_pivots if turn == "pivots" else _best_across)(live, most, percent)
+            tried = written(found.join(done, ["a", "b"], "left_anti"), "tried")
+            done = done.unionByName(tried)
+            new = written(_confirmed(tried, sets, percent), "links")
         links = links.unionByName(new)
     return _labelled(sigs, members, written(components(links), "components"))
 

@@ -110,6 +110,24 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in got} == comp
 
 
+def test_two_large_groups_that_share_a_passage(spark, monkeypatch):
+    """Two groups of near copies and rows in between, dealt into many small blocks."""
+    monkeypatch.setattr(near_dedup, "SKETCH_ROWS", 32)
+    monkeypatch.setattr(near_dedup, "SET_ROWS", 32)
+    rng = random.Random(8)
+    passage = ["p%d" % i for i in range(90)]
+    bases = [["%s%d" % (c, i) for i in range(60)] for c in "ab"]
+    rows = []
+    for i in range(500):
+        w = passage + [rng.choice(p) for p in zip(*bases, strict=True)] if i % 10 == 0 else passage + list(bases[i % 2])
+        for _ in range(rng.randrange(12)):
+            w[rng.randrange(150)] = "z%d" % rng.randrange(10_000)
+        rows.append((i, " ".join(w)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    _, comp = near_truth(rows, 2)
+    assert len(set(comp.values())) > 20 and {r.doc_id: r.component_id for r in got} == comp
+
+
 def test_sketch_bound_keeps_links():
     rng = np.random.default_rng(2)
     most, differ = near_dedup.most_bits(0.8), []
