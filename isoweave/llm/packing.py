@@ -28,6 +28,11 @@ WINDOW, SHARD_IDS = 4096, 4_000_000
 #: BM25's usual constants. A seed's query are all its distinct terms.
 K1, B = 1.2, 0.75
 
+#: Weights of a shard that are held as a table (4 bytes each), for terms that one document in DENSE_SHARE has.
+DENSE_CELLS, DENSE_SHARE = 16_000_000, 64
+#: Neighbours that are sorted first.
+FIRST_NEIGHBOURS = 32
+
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 
@@ -48,25 +53,47 @@ class Index:
         term_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), df)[np.argsort(self.doc, kind="stable")]
         #: each document's distinct terms, as positions in self.terms
         self.query = np.split(term_of, np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
-        self.n, self.left = n, n
-
-    def _forget(self, unused: np.ndarray, left: int) -> None:
+        self.n = n
+        #: documents that still have weights (all at first), and of the commonest terms a row of weights over these
+        self.held = np.arange(n)
+        often = np.argsort(-df, kind="stable")[: max(1, DENSE_CELLS // max(n, 1))]
+        often = often[df[often] * DENSE_SHARE >= n]
+        self.row_of = np.full(len(self.terms), -1, np.int32)
+        self.row_of[often] = np.arange(len(often), dtype=np.int32)
+        self.dense = np.zeros((len(often), n), np.float32)
+        row = self.row_of[np.repeat(np.arange(len(self.terms)), df)]
+        kept = row >= 0
+        self.dense[row[kept], self.doc[kept]] = self.weight[kept]
+
+    def _forget(self, unused: np.ndarray) -> None:
         """Drop the postings of used documents, which no query returns again; weights stay."""
         kept = unused[self.doc]
         self.bounds = np.concatenate([[0], np.cumsum(kept)])[self.bounds]
-        self.doc, self.weight, self.left = self.doc[kept], self.weight[kept], left
+        self.doc, self.weight = self.doc[kept], self.weight[kept]
+        kept = unused[self.held]
+        self.held, self.dense = self.held[kept], np.ascontiguousarray(self.dense[:, kept])
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+    def neighbours(self, seed: int, unused: np.ndarray):
         """Unused documents that share a term with the seed, best first; ties in order of the shard."""
         left = int(unused.sum())
-        if 4 * left < 3 * self.left:
-            self._forget(unused, left)
-        first = self.bounds[self.query[seed]]
-        size = self.bounds[self.query[seed] + 1] - first
+        if 4 * left < 3 * len(self.held):
+            self._forget(unused)
+        terms = self.query[seed]
+        rows = self.row_of[terms]
+        rare = terms[rows < 0]
+        first = self.bounds[rare]
+        size = self.bounds[rare + 1] - first
         at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-        score = np.bincount(self.doc[at], self.weight[at], self.n)
+        score = np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32)
+        score[self.held] += self.dense[rows[rows >= 0]].sum(axis=0)
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        most = FIRST_NEIGHBOURS
+        while most < len(found):  # a window seldom takes more than a few, so that few are sorted
+            least = np.partition(score[found], len(found) - most)[len(found) - most]
+            best = found[score[found] > least]
+            yield from best[np.argsort(-score[best], kind="stable")]
+            found, most = found[score[found] <= least], 8 * most
+        yield from found[np.argsort(-score[found], kind="stable")]
 
 
 def pack_shard(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:

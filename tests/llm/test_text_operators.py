@@ -154,5 +154,54 @@ def test_neighbours_by_all_terms_of_a_seed():
             if shared:
                 parts = [(sum(t in s for s in sets), int((flat[d] == t).sum())) for t in shared]
                 want[d] = sum(np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(flat[d]) / mean)) for df, tf in parts)
-        got = index.neighbours(int(seed), unused)
+        got = np.array(list(index.neighbours(int(seed), unused)), int)
         assert set(got.tolist()) == set(want) and all(want[a] >= want[b] - 1e-4 for a, b in zip(got, got[1:]))
+
+
+def test_pages_of_any_depth_take_linear_time():
+    """A page four times as long takes about four times as long, not sixteen times."""
+    import time
+
+    hard = [lambda n: "<script " * n, lambda n: "<script " * n + ">", lambda n: "<div>" * n + "x", lambda n: "<div>" * n + "</span>" * n, lambda n: '<a b=">"' * n, lambda n: "<div>" * n + "t" + "</div>" * n]
+    began = time.process_time()
+    for page in hard:
+        html_extract.main_text(page(100_000))
+    assert time.process_time() - began < 60
+    assert html_extract.main_text("<div>" * 1000 + "x") == "x" and html_extract.main_text('<p title="a>b">x</p>') == "x"
+
+
+def test_words_of_a_class_alone_are_no_furniture():
+    page = '<article><section class="related-work"><p>kept</p></section><p class="social-policy">also</p><div class="related-posts">gone</div><div id="cookie-notice">gone</div></article>'
+    assert html_extract.main_text(page) == "kept\nalso"
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    empty = docs(spark, [])
+    for out in (packing.pack(empty, public_path("word_bpe_49k.json")), sentencepiece_bpe.sentencepiece_round_trip(empty, public_path("piece_bpe_32k.model"))):
+        assert out.count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string, token int, host string")
+    assert html_extract.extract(pages).count() == 0
+
+
+def test_round_trip_through_the_table(spark):
+    """The DataFrame function's ids and digests against the library."""
+    import hashlib
+
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_path("piece_bpe_32k.model"))
+    d = docs(spark)
+    got = {r.doc_id: r for r in sentencepiece_bpe.sentencepiece_round_trip(d, public_path("piece_bpe_32k.model"), digests=True).collect()}
+    for r in d.collect():
+        ids = lib.encode(r.text or "", add_bos=True, add_eos=True)
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256) == (len(ids), hashlib.sha256(pack_ids(ids)).hexdigest())
+        assert got[r.doc_id].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+
+
+def test_template_of_many_hosts_is_joined(spark, monkeypatch):
+    """The shuffled way of sending templates gives what the broadcast way gives."""
+    rows = [(h * 100 + i, f"http://h{h}.example/{i}", f"<article><p>Share this {h}</p><p>Own {h} {i}</p></article>") for h in range(3) for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sent = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    monkeypatch.setattr(html_extract, "BROADCAST_TOKENS", 0)
+    assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == sent == {i: "Own %d %d" % divmod(i, 100) for i, _, _ in rows}
