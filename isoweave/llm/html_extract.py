@@ -37,7 +37,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar comment comments commentlist respond disqus replies reply widget skip toc tags hidden".split())
 HEADERS = frozenset(("header", "site-header", "page-header"))
 
-_TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r""")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<[!?/][^>]*>""", re.S | re.I)
+#: Words that a furniture name may have beside those of NAMES: ``related-posts`` is one, ``related-work`` isn't.
+FILLERS = frozenset("site page post posts article articles box block bar wrapper wrap container inner outer list lists link links section area region panel top bottom left right button buttons icon icons form main global primary secondary cta slot unit text header title js".split())
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+>""")
+_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z]+")
 _HOST = re.compile(r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
@@ -49,6 +54,50 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def tags(page: str):
+    """(start, end, closing, name, attributes) of each tag, in time linear in the page; name is empty for comments and declarations.
+
+    An element of RAW is one tag with all it holds, to the page's end if it isn't closed. A tag ends at its first > outside
+    of attribute values; if one value is never closed, this and all later tags end at their first >. A < after the last >
+    begins no tag.
+    """
+    at, last, n, quoted = 0, page.rfind(">"), len(page), True
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else n
+            yield start, at, False, "", ""
+            continue
+        if start > last:
+            return
+        m = _NAME.match(page, start)
+        if not m:
+            at = start + 1
+            if page[at : at + 1] in ("!", "?", "/"):
+                at = page.find(">", at) + 1
+                yield start, at, False, "", ""
+            continue
+        end = _REST.match(page, m.end()) if quoted else None
+        quoted = end is not None
+        at = end.end() if quoted else page.find(">", m.end()) + 1
+        name, raw = m[2].lower(), page[m.end() : at - 1]
+        if name in _ENDS and not m[1]:
+            close = _ENDS[name].search(page, at)
+            at = close.end() if close else n
+            name = ""
+        yield start, at, bool(m[1]), name, raw
+
+
+@functools.lru_cache(maxsize=4096)
+def _named_furniture(value: str) -> bool:
+    """Whether one of an attribute's names is made of words of NAMES, with FILLERS at most besides."""
+    for name in value.split():
+        words = set(_WORD.findall(name))
+        if not NAMES.isdisjoint(words) and words <= NAMES | FILLERS:
+            return True
+    return value in HEADERS
+
+
 def _furniture(name: str, raw: str, inside: bool) -> bool:
     """Whether an element is page furniture; ``inside``: within the article, where a plain header is its own."""
     if name in FURNITURE or name == "header" and not inside:
@@ -61,7 +110,7 @@ def _furniture(name: str, raw: str, inside: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value):
             return True
-        if key in ("class", "id") and (value in HEADERS or not NAMES.isdisjoint(_WORD.findall(value))) and name not in ("html", "body", "article", "main"):
+        if key in ("class", "id") and name not in ("html", "body", "article", "main") and _named_furniture(value):
             return True
         if key in ("class", "id") and name == "article" and not {"comment", "comments", "reply"}.isdisjoint(_WORD.findall(value)):
             return True
@@ -82,53 +131,66 @@ def _label(name: str, raw: str) -> str:
     return ".".join([name, *(re.sub(r"\d{3,}", "#", w) for v in named for w in v.lower().split())])
 
 
-def blocks(page: str) -> list[tuple[int, str, str]]:
-    """[(region: 2 article, 1 main, 0 body, -1 for a tag; path of the element; text, or a tag's name)] of a page, in order."""
-    out: list[tuple[int, str, str]] = []
-    open_: list[tuple[str, bool, int, str]] = []  # name, furniture, region, path
+def _token(*parts: str) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+@functools.lru_cache(maxsize=16384)
+def _place(above: int, label: str) -> int:
+    """An element's path as a fingerprint, so that deep pages need no more memory than flat ones."""
+    return _token("place", str(above), label)
+
+
+def blocks(page: str) -> list[tuple[int, int, str]]:
+    """[(region: 2 article, 1 main, 0 body, -1 for a tag; place of the element; text, or a tag's name)] of a page, in order.
+
+    Time and memory are linear in the page's length, whatever its depth.
+    """
+    out: list[tuple[int, int, str]] = []
+    open_: list[tuple[str, bool, int, int]] = []  # name, furniture, region, place
+    inside: Counter = Counter()  # open elements by name
     parts: list[str] = []
-    skip = region = at = 0
-    path = ""
+    skip = region = at = place = 0
 
     def flush() -> None:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((region, path, text))
+                out.append((region, place, text))
             parts.clear()
 
-    def close(k: int) -> None:
-        nonlocal skip, region, path
+    def close(name: str) -> None:
+        """Close elements up to the last one of this name."""
+        nonlocal skip, region, place
         flush()
-        out.extend((-1, x[3], "/") for x in reversed(open_[k:]))
-        del open_[k:]
-        skip = sum(x[1] for x in open_)
-        region, path = (open_[-1][2], open_[-1][3]) if open_ else (0, "")
-
-    for m in _TOKENS.finditer(page):
-        start = m.start()
+        last = None
+        while last != name:
+            last, bad, _, own = open_.pop()
+            inside[last] -= 1
+            skip -= bad
+            out.append((-1, own, "/"))
+        region, place = (open_[-1][2], open_[-1][3]) if open_ else (0, 0)
+
+    for start, end, closing, name, raw in tags(page):
         if start > at and not skip:
             parts.append(page[at:start])
-        at = m.end()
-        name = m[3]
+        at = end
         if not name:
-            if m[1] and not skip:
-                parts.append(" ")
+            if not skip and page[start + 1 : start + 2] not in "!?/":
+                parts.append(" ")  # an element without text of its own parts words
             continue
-        name, raw = name.lower(), m[4]
-        if m[2]:
-            k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), -1)
-            if k >= 0:
-                close(k)
+        if closing:
+            if inside[name]:
+                close(name)
             elif name in BLOCKS:
                 flush()
             continue
-        if name == "body" and (k := next((i for i, x in enumerate(open_) if x[0] == "head"), -1)) >= 0:
-            close(k)  # a head that was left open ends here
+        if name == "body" and inside["head"]:
+            close("head")  # a head that was left open ends here
         if name in BLOCKS:
             flush()
             while open_ and open_[-1][0] == "p":
-                close(len(open_) - 1)
+                close("p")
         elif name in VOID:
             if name == "br" and not skip:
                 parts.append(" ")
@@ -138,25 +200,22 @@ def blocks(page: str) -> list[tuple[int, str, str]]:
         alone = name in VOID or raw.endswith("/") or not (bad or main or name in ("div", "section", "header", "body", "html", "ul", "ol", "table"))
         if alone:  # p and li end by themselves
             if name in BLOCKS:
-                out.append((-1, path, _label(name, raw)))
+                out.append((-1, place, _label(name, raw)))
             continue
         flush()
-        open_.append((name, bad, max(region, main), f"{path}/{_label(name, raw)}"))
+        open_.append((name, bad, max(region, main), _place(place, _label(name, raw))))
+        inside[name] += 1
         out.append((-1, open_[-1][3], ""))
         skip += bad
-        region, path = open_[-1][2], open_[-1][3]
+        region, place = open_[-1][2], open_[-1][3]
     if at < len(page) and not skip:
         parts.append(page[at:])
     flush()
     return out
 
 
-def _token(*parts: str) -> int:
-    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def tokens_of(found: list[tuple[int, str, str]]) -> list[int]:
-    return [_token("tag" if r < 0 else "text", p, t) for r, p, t in found]
+def tokens_of(found: list[tuple[int, int, str]]) -> list[int]:
+    return [_token("tag" if r < 0 else "text", str(p), t) for r, p, t in found]
 
 
 ROOT = _token("root")
@@ -175,8 +234,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 host, found = host_of(url), blocks(page or "")
                 if all(r < 0 for r, _, _ in found):
                     continue
-                places = {p: _token("place", p) for _, p, _ in found}
-                seen = Counter([(ROOT, 0), *((t, places[f[1]]) for t, f in zip(tokens_of(found), found, strict=True))])
+                seen = Counter([(ROOT, 0), *((t, f[1]) for t, f in zip(tokens_of(found), found, strict=True))])
                 vectors = {n: _token(str(key), str(n)) for n in set(seen.values())}
                 for (token, place), n in seen.items():
                     for c, v in zip(cols.values(), (host, token, place, vectors[n]), strict=True):
