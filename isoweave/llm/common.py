@@ -18,17 +18,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Keep Arrow batches small: a batch of the default 10,000 very long texts would not fit a worker."""
+    """Keep Arrow batches small: a batch of the default 10,000 very long texts would not fit a worker.
+
+    Spark reads this setting when a plan runs, so it stays set for the session; a smaller value is left as it is.
+    """
+    if 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        return
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests in local mode) a temporary folder of this machine is chosen.
+    Only where that setting is absent and the master is local (tests) a temporary folder of this machine is chosen.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='isoweave-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -52,6 +59,14 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(col):
     """Lower-case A-Z alone."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

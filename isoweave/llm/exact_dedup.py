@@ -11,11 +11,11 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shared_dir, written
+from .common import ascii_lower, shared_dir, unused, written
 
 #: Files of the arrival log that a micro-batch takes.
 FILES_PER_BATCH = 256
@@ -49,14 +49,24 @@ def normalised(text_col: str = "text"):
     return ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, at: file and row of the content, norm); a table that is in no file yet is written first."""
+def _in_files(docs: DataFrame) -> DataFrame | None:
+    """(file, row) of each row, where every row of ``docs`` is a row of its own of some file; else None."""
+    plan = docs._jdf.queryExecution().analyzed().toString()
+    if any(node in plan for node in ("Generate", "Join", "Union", "Expand", "Aggregate", "Window", "MapIn", "RDD")):
+        return None
     try:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), normalised(text_col).alias("norm"))
-    except AnalysisException:
-        back = written(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col)), "located")
-        rows = back.select(F.col(id_col).alias("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), normalised(text_col).alias("norm"))
-    return rows.select("doc_id", F.struct("file", "row").alias("at"), "norm")
+        at = docs.metadataColumn("_metadata")
+        return docs.select("*", F.struct(at["file_path"].alias("file"), at["row_index"].alias("row")).alias(unused(docs, "_at")))
+    except (AnalysisException, PySparkException):
+        return None
+
+
+def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, at: file and row of the content, norm); a table whose rows aren't those of files is written first."""
+    rows = _in_files(docs)
+    if rows is None:
+        rows = _in_files(written(docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).alias(text_col)), "located"))
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(rows.columns[-1]).alias("at"), normalised(text_col).alias("norm"))
 
 
 def track(spark: SparkSession, arrivals_path: str, schema, checkpoint: str, groups_path: str) -> DataFrame:
@@ -106,7 +116,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; ``docs`` is a table that was read from files."""
-    gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("at.file").alias("_file"), F.col("at.row").alias("_row"))
-    rows = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return rows.join(gone, ["_file", "_row"], "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns.
+
+    Null texts are empty ones; a null id is less than any other; an empty table stays empty. A table whose rows aren't
+    those of files (a join's, for instance) is written first.
+    """
+    if _in_files(docs) is None:
+        docs = written(docs, "documents")
+    rows = _in_files(docs)
+    at, gone_at = rows.columns[-1], unused(rows, "_gone")
+    gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col("at").alias(gone_at))
+    return rows.join(gone, F.col(at) == F.col(gone_at), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

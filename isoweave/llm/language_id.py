@@ -123,15 +123,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on at most ``rows`` rows per language, those of smallest hash among the rows that aren't held out.
 
     Language counts come from the same usable rows; the hash bound that they give for each language leaves about twice
-    the rows that are wanted, of which the driver keeps the first.
+    the rows that are wanted, of which the driver gets three times ``rows`` a language at most and keeps the first. The
+    hash is of id and text, so that rows that share an id are drawn each by itself.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(text_col).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     if not counts:
         return fit([], [])
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)), F.lit(1 << 30))
     bound = F.coalesce(*(F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, 2.5 * rows / n) * (1 << 30)))) for lang, n in counts.items()))
-    sample = usable.where(draw < bound).select(draw.alias("draw"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = usable.where(draw < bound).select(draw.alias("draw"), (draw / bound).alias("place"), F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sample = sample.orderBy("place", "id", "text").limit(3 * rows * len(counts))
     texts, labels, seen = [], [], dict.fromkeys(counts, 0)
     for r in sorted(sample.collect(), key=lambda r: (r.draw, r.id, r.text)):
         if seen[r.lang] < rows:
@@ -166,8 +168,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct _lang(pred, score); its other columns stay on the JVM."""
+def with_language(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_lang") -> DataFrame:
+    """``docs`` with a struct ``name`` (pred, score) as identify() gives them; its other columns stay on the JVM."""
     text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -182,4 +184,4 @@ def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> Data
                 langs[i], scores[i] = own.langs[k], float(row)
         return pd.DataFrame({"pred": langs, "score": scores})
 
-    return docs.withColumn("_lang", predict(F.col(text_col)))
+    return docs.withColumn(name, predict(F.col(text_col)))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import as_bytes, compare_within, shared_buckets
-from .common import arrow_rows, text_batches, written
+from .common import arrow_rows, text_batches, unused, written
 from .graph import components
 
 #: Fixed layout: MinHash values per band, bands, bits of the odd sketch.
@@ -350,8 +350,12 @@ def _labelled(sigs: DataFrame, members: DataFrame, comps: DataFrame) -> DataFram
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one of each component."""
-    gone = near_duplicates(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    """The rows of ``docs`` that stay, with all their columns: of each component those with its least id.
+
+    Rows without a word, text or id stay; rows that share an id stay or go together; an empty table stays empty.
+    """
+    name = unused(docs, "_gone")
+    gone = near_duplicates(docs, k, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(name)).distinct()
     gone = written(gone, "gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(side, F.col(id_col) == F.col(name), "left_anti")

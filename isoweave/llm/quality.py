@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import text_batches, unused, written
 
 #: Labelled rows that the document classifier is fitted on at most: those of smallest hash.
 TRAIN_ROWS = 2000
@@ -86,20 +86,21 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     chosen = known.withColumn("draw", draw).where(F.col("draw") < int(min(1.0, 1.5 * rows / max(n, 1)) * (1 << 30))).orderBy("draw", "doc_id").limit(rows)
     # at most ``rows`` rows of two numbers are broadcast, so no text is shuffled
-    sample = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").collect()
-    sample.sort(key=lambda r: (r.draw, r.doc_id, r.text))
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # many rows may share an id: the driver gets ``rows`` rows at most
+    sample = texts.join(F.broadcast(chosen), "doc_id").orderBy("draw", "doc_id", "text").limit(rows).collect()
     return fit([r.text for r in sample], [int(r.quality > 0) for r in sample])
 
 
-def with_evidence(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with _p, the classifier's evidence; other columns stay on the JVM."""
+def with_evidence(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_p") -> DataFrame:
+    """``docs`` with ``name``, the classifier's evidence; other columns stay on the JVM."""
     text_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def evidence(texts: pd.Series) -> pd.Series:
         return pd.Series(model.evidence(texts.tolist()))
 
-    return docs.withColumn("_p", evidence(F.col(text_col)))
+    return docs.withColumn(name, evidence(F.col(text_col)))
 
 
 def _logit(p):
@@ -130,16 +131,28 @@ def site_posteriors(scored: DataFrame, host: str, path: str) -> DataFrame:
     return paths.join(posts, F.col("_host").eqNullSafe(F.col("_of"))).select("_host", "_path", ((F.lit(k_p) * F.col("host_post") + F.col("s")) / (F.lit(k_p) + F.col("n"))).alias("path_post"), "host_post", F.lit(prior).alias("prior"))
 
 
-def with_quality(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text_col: str = "text") -> DataFrame:
-    """``docs`` with _p (evidence), _host_post, _path_post and _quality (posterior), all doubles from 0 to 1.
+def scored(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text_col: str = "text", name: str = "_scores") -> DataFrame:
+    """``docs`` with a struct ``name`` (p: evidence, host_post, path_post, quality), all doubles from 0 to 1.
 
     Texts that are null or have no word are of quality 0. The table is read twice, once for the groups' sums; what is
     joined to it is a row per path, broadcast if there are at most BROADCAST_ROWS and shuffled (skew split) beyond.
+    Columns of any other name are kept as they are; an empty table stays empty.
     """
-    scored = with_evidence(docs, model, text_col)
-    posts = written(site_posteriors(scored.select(host, path, "_p"), host, path), "site-posteriors")
-    side = F.broadcast(posts) if posts.count() <= BROADCAST_ROWS else posts
-    joined = scored.join(side, F.col(host).eqNullSafe(F.col("_host")) & F.col(path).eqNullSafe(F.col("_path")), "left").drop("_host", "_path")
-    odds = _logit(F.col("_p")) + SITE_WEIGHT * (_logit(F.col("path_post")) - _logit(F.col("prior")))
-    value = F.when(F.col("_p") > 0, 1 / (1 + F.exp(-odds))).otherwise(0.0)
-    return joined.withColumn("_quality", value).withColumnsRenamed({"host_post": "_host_post", "path_post": "_path_post"}).drop("prior")
+    p = unused(docs, "_p")
+    seen = with_evidence(docs, model, text_col, p)
+    posts = written(site_posteriors(seen.select(F.col(host).alias("_h"), F.col(path).alias("_d"), F.col(p).alias("_p")), "_h", "_d"), "site-posteriors")
+    site = unused(seen, "_site")
+    side = posts.select(F.struct("*").alias(site))
+    side = F.broadcast(side) if posts.count() <= BROADCAST_ROWS else side
+    joined = seen.join(side, F.col(host).eqNullSafe(F.col(f"{site}._host")) & F.col(path).eqNullSafe(F.col(f"{site}._path")), "left")
+    odds = _logit(F.col(p)) + SITE_WEIGHT * (_logit(F.col(f"{site}.path_post")) - _logit(F.col(f"{site}.prior")))
+    value = F.when(F.col(p) > 0, 1 / (1 + F.exp(-odds))).otherwise(0.0)
+    out = F.struct(F.col(p).alias("p"), F.col(f"{site}.host_post").alias("host_post"), F.col(f"{site}.path_post").alias("path_post"), value.alias("quality"))
+    return joined.withColumn(name, out).drop(p, site)
+
+
+def with_quality(docs: DataFrame, model: Model, host: str = "source", path: str = "lang", text_col: str = "text") -> DataFrame:
+    """``docs`` with _p, _host_post, _path_post and _quality from scored(); columns that have these names are replaced."""
+    name = unused(docs, "_scores")
+    out = scored(docs, model, host, path, text_col, name)
+    return out.withColumns({f"_{c}": F.col(f"{name}.{c}") for c in ("p", "host_post", "path_post", "quality")}).drop(name)

@@ -8,8 +8,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-pytest.importorskip("public_tokenizers")
-
 from isoweave.llm import embedding_dedup, exact_dedup, language_id, near_dedup, quality, token_rollup
 from isoweave.llm.common import shared_dir
 from isoweave.llm.graph import components
@@ -198,6 +196,7 @@ def test_rollup_is_idempotent(spark):
 
 
 def test_pipeline_keeps_one_of_each(spark):
+    pytest.importorskip("public_tokenizers")
     import corpus_pipeline
     from isoweave.llm.common import table
 
@@ -266,3 +265,64 @@ def test_rollup_folds_its_deltas(spark):
         assert {tuple(r) for r in token_rollup.totals(spark, folder).collect()} == {("b", None, "v1", 1, 7)}
         token_rollup.compact(spark, folder)
     assert token_rollup._batches(spark, folder) == ([-3], [])
+
+
+def test_components_of_ids_near_the_largest(spark):
+    top = (1 << 63) - 1
+    edges = [(top - i, top - i - 1) for i in range(6)]
+    assert {r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == {top - 6}
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, _gone int, _at int, _p int, prior int, _lang string, _site int, file int, `a.b` int"
+
+
+def test_stages_with_clashing_and_null_columns(spark):
+    """All columns come back as they were, whatever their names, and an empty table stays empty."""
+    import corpus_pipeline
+
+    words = "the old house stands near a river and people walk there every day".split()
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(words, k=30)) + ".", "en", None if i % 3 else "s", 1, 1, 2, 3, 4, "x", 5, 6, i) for i in range(25)]
+    rows += [(100, rows[0][1], "en", "s", None, 1, 2, 3, 4, "x", 5, 6, 100), (100, rows[0][1], "en", "s", None, 1, 2, 3, 4, "x", 5, 6, 100), (101, None, None, None, None, 1, 2, 3, 4, "x", 5, 6, 101)]
+    df = spark.createDataFrame(rows, CLASH)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, df, "/root/testdata/sf0.001")
+        assert out.columns == df.columns, name
+        got = [tuple(r) for r in out.collect()]
+        assert set(got) <= set(rows) and (len(got) >= 20 or name == "quality classifier"), name
+        if name == "exact dedup":
+            assert sorted(r[-1] for r in got) == [*range(1, 25), 100, 101]
+        assert stage(spark, df.limit(0), "/root/testdata/sf0.001").count() == 0, name
+
+
+def test_exact_duplicates_of_a_join_and_of_a_union(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    twice = t.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    for df in (t, t.where("doc_id > 0"), t.unionByName(t), twice, t.join(t.select("doc_id"), "doc_id")):
+        assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(df).collect()) == [2, 3]
+
+
+def test_totals_before_any_batch_and_after_many(spark):
+    schema = "op string, source string, lang string, version string, tokens long, old_version string, old_tokens long"
+    folder = shared_dir(spark, "rollup-many-test")
+    assert token_rollup.totals(spark, folder).count() == 0
+    for n in range(token_rollup.FOLD_AFTER + 3):
+        for _ in range(2):
+            token_rollup.commit(spark.createDataFrame([("insert", "a", "en", "v", n, None, None)], schema), folder, n)
+    token_rollup.commit(spark.createDataFrame([], schema), folder, 90)
+    n = token_rollup.FOLD_AFTER + 3
+    assert {tuple(r) for r in token_rollup.totals(spark, folder).collect()} == {("a", "en", "v", n, n * (n - 1) // 2)}
+    assert len(token_rollup._batches(spark, folder)[0]) < n
+
+
+def test_sample_of_repeated_ids_is_bounded(spark, monkeypatch):
+    """Rows that share one id are drawn each by itself, and the driver never gets more than the bound."""
+    fitted = []
+    monkeypatch.setattr(language_id, "fit", lambda texts, labels: fitted.append(labels))
+    monkeypatch.setattr(quality, "fit", lambda texts, good: fitted.append(good))
+    one = spark.range(3000).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("und "), "id").alias("text"), F.lit("de").alias("lang"))
+    assert not one.where(language_id.held_out(F.col("doc_id"))).count()
+    language_id.train(one, rows=50)
+    quality.train(one, spark.createDataFrame([(3, 1)], "doc_id long, quality int"), rows=50)
+    assert [len(x) for x in fitted] == [50, 50]
