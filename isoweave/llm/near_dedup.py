@@ -188,6 +188,7 @@ def _best_pivots(live: DataFrame, most: int, percent: int) -> DataFrame:
     main = live.where("main").select("key", "id", "n_shingles", "sketch", F.array(*draws).alias("draws"))
     least = main.groupBy("key").agg(F.array(*(F.min(F.col("draws")[i]) for i in range(PIVOTS))).alias("least"))
     chosen = main.join(least, "key").where(F.exists(F.zip_with("draws", "least", lambda x, y: x == y), lambda x: x))
+    chosen = written(chosen, "pivot-rows")  # with no aggregate above it, the join of a hot bucket can be split
     pivots = written(chosen.groupBy("key").agg(F.collect_list(F.struct("id", "n_shingles", "sketch")).alias("pivots")), "pivots")
     differ = lambda p: F.aggregate(F.zip_with("sketch", p["sketch"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = lambda p: 100 * F.least(p["n_shingles"], "n_shingles") >= percent * F.greatest(p["n_shingles"], "n_shingles")
