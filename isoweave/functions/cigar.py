@@ -18,31 +18,60 @@ def operations(cigar: Column) -> Column:
 
 
 def walked(pos: Column, cigar: Column) -> Column:
-    """Operations with the reference position at which each begins: array<struct<at, n, op>>.
+    """Operations with the places in reference and read at which each begins: array<struct<at, query, n, op>>.
 
-    I, S, H and P stay where they are; = and X count as M (the reference mangles them).
+    I, S, H and P stay where they are in the reference; = and X count as M (the reference mangles them).
     """
-    empty = F.array().cast("array<struct<at: bigint, n: bigint, op: string>>")
-    start = F.struct(pos.cast("bigint").alias("at"), empty.alias("out"))
+    empty = F.array().cast("array<struct<at: bigint, query: bigint, n: bigint, op: string>>")
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(pos.cast("bigint").alias("at"), zero.alias("query"), empty.alias("out"))
 
     def step(acc, x):
-        moves = F.when(x["op"].isin("M", "=", "X", "D", "N"), x["n"]).otherwise(F.lit(0).cast("bigint"))
-        item = F.struct(acc["at"].alias("at"), x["n"].alias("n"), F.when(x["op"].isin("=", "X"), "M").otherwise(x["op"]).alias("op"))
-        return F.struct((acc["at"] + moves).alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
+        moves = F.when(x["op"].isin("M", "=", "X", "D", "N"), x["n"]).otherwise(zero)
+        reads = F.when(x["op"].isin("M", "=", "X", "I", "S"), x["n"]).otherwise(zero)
+        item = F.struct(acc["at"].alias("at"), acc["query"].alias("query"), x["n"].alias("n"), F.when(x["op"].isin("=", "X"), "M").otherwise(x["op"]).alias("op"))
+        return F.struct((acc["at"] + moves).alias("at"), (acc["query"] + reads).alias("query"), F.concat(acc["out"], F.array(item)).alias("out"))
 
     return F.aggregate(operations(cigar), start, step, lambda acc: acc["out"])
 
 
+def _by_shape(cigar: Column, whole, spliced, rest: Column) -> Column:
+    """``whole(n)`` for reads of one aligned block, ``spliced(a, gap, b)`` for two around one gap, else ``rest``.
+
+    Most reads are of these shapes; they need one split in compiled code and no fold over operations.
+    """
+    shape = F.translate(cigar, "0123456789", "")
+    part = F.split(F.translate(cigar, "MN", "  "), " ")  # a single plain character needs no regular expression
+    n = [part[i].try_cast("bigint") for i in range(3)]
+    return F.when(shape == "MNM", spliced(*n)).when(shape == "M", whole(n[0])).otherwise(rest)
+
+
 def exons(pos: Column, cigar: Column) -> Column:
     """array<struct<start, end>>: each aligned block; a deletion splits it."""
-    return F.transform(F.filter(walked(pos, cigar), lambda x: x["op"] == "M"), lambda x: F.struct(x["at"].alias("start"), (x["at"] + x["n"] - 1).alias("end")))
+    at = pos.cast("bigint")
+    block = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    rest = F.transform(F.filter(walked(pos, cigar), lambda x: x["op"] == "M"), lambda x: block(x["at"], x["at"] + x["n"] - 1))
+    return _by_shape(cigar, lambda n: F.array(block(at, at + n - 1)), lambda a, gap, b: F.array(block(at, at + a - 1), block(at + a + gap, at + a + gap + b - 1)), rest)
 
 
 def junctions(pos: Column, cigar: Column) -> Column:
     """array<struct<start, end>>: last base before and first base after each N."""
-    return F.transform(F.filter(walked(pos, cigar), lambda x: x["op"] == "N"), lambda x: F.struct((x["at"] - 1).alias("start"), (x["at"] + x["n"]).alias("end")))
+    at = pos.cast("bigint")
+    gap_of = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+    rest = F.transform(F.filter(walked(pos, cigar), lambda x: x["op"] == "N"), lambda x: gap_of(x["at"] - 1, x["at"] + x["n"]))
+    none = F.array().cast("array<struct<start: bigint, end: bigint>>")
+    return _by_shape(cigar, lambda n: none, lambda a, gap, b: F.array(gap_of(at + a - 1, at + a + gap)), rest)
+
+
+def aligned_blocks(pos: Column, cigar: Column) -> Column:
+    """array<struct<start, query, n>>: each aligned block with its 0-based place in the read."""
+    at, zero = pos.cast("bigint"), F.lit(0).cast("bigint")
+    block = lambda a, q, n: F.struct(a.alias("start"), q.alias("query"), n.alias("n"))
+    rest = F.transform(F.filter(walked(pos, cigar), lambda x: x["op"] == "M"), lambda x: block(x["at"], x["query"], x["n"]))
+    return _by_shape(cigar, lambda n: F.array(block(at, zero, n)), lambda a, gap, b: F.array(block(at, zero, a), block(at + a + gap, a, b)), rest)
 
 
 def reference_length(cigar: Column) -> Column:
     """Bases of the reference that a read spans."""
-    return F.aggregate(operations(cigar), F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["op"].isin("M", "=", "X", "D", "N"), x["n"]).otherwise(0))
+    rest = F.aggregate(operations(cigar), F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["op"].isin("M", "=", "X", "D", "N"), x["n"]).otherwise(0))
+    return _by_shape(cigar, lambda n: n, lambda a, gap, b: a + gap + b, rest)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,10 +20,16 @@ def has(bit: int, col: str = "flag") -> Column:
 
 
 def flagstat(reads: DataFrame) -> DataFrame:
-    """Counters by QC result, one pass: total, duplicates, mapped, paired, read1, read2, proper, both, singletons."""
+    """Counters by QC result, one pass: total, duplicates, mapped, paired, read1, read2, proper, both, singletons.
+
+    Where the mate's chromosome (rnext) is known, also mates on another one, all and those with mapq 5 or more.
+    """
     pair = has(PAIRED)
     both = pair & ~has(UNMAPPED) & ~has(MATE_UNMAPPED)
     counters = {"total": F.lit(True), "duplicates": has(DUPLICATE), "mapped": ~has(UNMAPPED), "paired": pair, "read1": pair & has(READ1), "read2": pair & has(READ2), "proper": pair & has(PROPER) & ~has(UNMAPPED), "both_mapped": both, "singletons": pair & ~has(UNMAPPED) & has(MATE_UNMAPPED)}
+    if "rnext" in reads.columns:
+        apart = both & (F.col("rnext") != "=") & (F.col("rnext") != F.col("chrom"))
+        counters |= {"mate_elsewhere": apart, "mate_elsewhere_mapq5": apart & (F.col("mapq") >= 5)}
     return reads.groupBy(has(QC_FAIL).alias("qc_fail")).agg(*(F.count_if(c).alias(n) for n, c in counters.items()))
 
 
@@ -76,20 +86,29 @@ def sorted_by_name(reads: DataFrame) -> DataFrame:
 
 
 def ranked_by_name(reads: DataFrame) -> DataFrame:
-    """Reads with ``rank``, their place 1, 2, ... in natural order: a range-partitioned sort and prefix sums over its partitions.
+    """Reads with ``rank``, their place 1, 2, ... in natural order."""
+    return ranked(sorted_by_name(reads))
+
+
+def ranked(ordered: DataFrame) -> DataFrame:
+    """Rows of a sorted table with ``rank``, their place 1, 2, ...: prefix sums over the sort's range partitions.
 
-    The sorted rows are checkpointed, since a partition sorted anew could have other bounds; on the executors alone where
-    spark.checkpoint.dir is absent (tests in local mode).
+    The sorted rows are checkpointed, since a partition sorted anew could have other bounds; where spark.checkpoint.dir
+    is absent (tests in local mode) a temporary folder of this machine takes its place.
     """
-    at = sorted_by_name(reads).withColumn("_at", F.monotonically_increasing_id())
-    at = at.checkpoint() if reads.sparkSession.sparkContext.getCheckpointDir() else at.localCheckpoint()
+    spark = ordered.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="isoweave-"))
+    at = ordered.withColumn("_at", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftrightunsigned("_at", 33)
     own = F.col("_at").bitwiseAND((1 << 33) - 1)
     first, before = 0, []
     for p, n in at.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row per partition
         before.append((p, first))
         first += n
-    starts = reads.sparkSession.createDataFrame(before, "_part long, _before long")
+    starts = spark.createDataFrame(before, "_part long, _before long")
     return at.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn("rank", F.col("_before") + own + 1).drop("_at", "_part", "_before")
 
 
@@ -137,3 +156,79 @@ def subsequence(sequences: DataFrame, regions: DataFrame) -> DataFrame:
     """Slices of (name, seq) for 1-based closed regions (name, low, high), clamped to the sequence."""
     low = F.greatest(F.col("low"), F.lit(1))
     return sequences.join(regions, "name").select("name", "low", "high", F.expr("substring(seq, cast(greatest(low, 1) as int), cast(greatest(least(high, length(seq)) - greatest(low, 1) + 1, 0) as int))").alias("seq"))
+
+
+def in_ranges(reads: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Reads that overlap any of the 0-based half-open ranges (chrom, low, high) of a BED set."""
+    from .intervals import overlap_join
+
+    keyed = reads.withColumns({"_low": F.col("pos"), "_high": F.col("pos") + F.greatest(cigar.reference_length(F.col("cigar")), F.lit(1)) - 1})
+    bed = ranges.select("chrom", F.col("low").alias("_bl"), (F.col("high") - 1).alias("_bh")).where("_bl <= _bh")
+    return overlap_join(keyed, bed, "chrom", ("_low", "_high"), ("_bl", "_bh")).select(*reads.columns).distinct()
+
+
+def merged(files: dict[str, DataFrame], region: tuple[str, int, int] | None = None) -> DataFrame:
+    """Reads of several files with ``rg``, the file's name, in order of place, strand, file and read; files need one schema."""
+    parts = [df.withColumns({"rg": F.lit(name), "_file": F.lit(i)}) for i, (name, df) in enumerate(files.items())]
+    both = reduce(DataFrame.unionByName, parts)
+    return (fetch(both, *region) if region else both).orderBy("chrom", "pos", has(REVERSE), "_file", "read_id").drop("_file")
+
+
+def concatenated(files: list[DataFrame]) -> DataFrame:
+    """Reads of several files one after another, in no new order."""
+    return reduce(DataFrame.unionByName, files)
+
+
+def renamed_chromosomes(reads: DataFrame, names: DataFrame) -> DataFrame:
+    """Reads under a new header: names (chrom, new); chromosomes without a new name keep theirs."""
+    return reads.join(names.select("chrom", "new"), "chrom", "left").withColumn("chrom", F.coalesce("new", "chrom")).drop("new").select(*reads.columns)
+
+
+def pileup(reads: DataFrame, min_mapq: int = 0, min_quality: int = 13, orphans: bool = False) -> DataFrame:
+    """(chrom, pos, depth, a, c, g, t, n, forward, quality: sum) of aligned bases, 0-based.
+
+    Unmapped, secondary, QC-failed and duplicate reads are left out, and reads of a pair that isn't proper unless
+    ``orphans``. A base counts with the lesser of its own and its read's quality, if its own reaches ``min_quality``.
+    Bases are summed on the map side, so that a deep position shuffles a row per task.
+    """
+    skip = UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE
+    kept = reads.where((F.col("flag").bitwiseAND(skip) == 0) & (F.col("mapq") >= min_mapq))
+    if not orphans:
+        kept = kept.where(~has(PAIRED) | has(PROPER))
+    blocks = kept.select("chrom", "mapq", has(REVERSE).alias("rev"), "seq", "qual", F.inline(cigar.aligned_blocks(F.col("pos"), F.col("cigar"))))
+    bases = blocks.select("chrom", "mapq", "rev", "start", "query", "seq", "qual", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    at = lambda c: F.substring(F.col(c), (F.col("query") + F.col("i") + 1).cast("int"), F.lit(1))
+    own = F.ascii(at("qual")) - 33
+    rows = bases.select("chrom", (F.col("start") + F.col("i")).alias("pos"), F.upper(at("seq")).alias("b"), "rev", own.alias("q"), F.least(own, "mapq").alias("quality")).where((F.col("q") >= min_quality) & (F.col("b") != ""))
+    count = lambda c: F.count_if(F.col("b") == c)
+    known = F.col("b").isin(*"ACGT")
+    return rows.groupBy("chrom", "pos").agg(F.count("*").alias("depth"), *(count(c).alias(c.lower()) for c in "ACGT"), F.count_if(~known).alias("n"), F.count_if(~F.col("rev")).alias("forward"), F.sum("quality").cast("long").alias("quality"))
+
+
+def position_depth(reads: DataFrame, keys: list[str], min_mapq: int = 0, min_quality: int = 0) -> DataFrame:
+    """(keys, pos, depth) of aligned bases of a quality and more, deletions and gaps left out."""
+    kept = reads.where(~has(UNMAPPED) & (F.col("mapq") >= min_mapq))
+    blocks = kept.select(*keys, "qual", F.inline(cigar.aligned_blocks(F.col("pos"), F.col("cigar"))))
+    bases = blocks.select(*keys, "qual", "start", "query", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    good = F.ascii(F.substring(F.col("qual"), (F.col("query") + F.col("i") + 1).cast("int"), F.lit(1))) - 33 >= min_quality
+    return (bases.where(good) if min_quality else bases).groupBy(*keys, (F.col("start") + F.col("i")).alias("pos")).agg(F.count("*").alias("depth"))
+
+
+def with_differences(reads: DataFrame, sequences: DataFrame) -> DataFrame:
+    """Reads with ``nm`` (mismatches, inserted and deleted bases) and ``md`` against their chromosome (name, seq).
+
+    Each read gets the slice of the reference that it spans, cut on the JVM, so that no chromosome reaches a Python worker.
+    Unmapped reads, and those of unknown chromosomes, have nulls.
+    """
+    from ..functions import kernels
+
+    @F.pandas_udf("nm long, md string")
+    def differ(seq: pd.Series, ops: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        found = [kernels.differences(s, c, r) if isinstance(r, str) and isinstance(s, str) else (None, None) for s, c, r in zip(seq, ops, ref, strict=True)]
+        return pd.DataFrame({"nm": pd.array([f[0] for f in found], "Int64"), "md": [f[1] for f in found]})
+
+    ref = sequences.select(F.col("name").alias("chrom"), F.col("seq").alias("_ref"))
+    span = cigar.reference_length(F.col("cigar"))
+    cut = F.when(~has(UNMAPPED), F.substring(F.col("_ref"), (F.col("pos") + 1).cast("int"), span.cast("int")))
+    joined = reads.join(ref, "chrom", "left").withColumn("_ref", cut)
+    return joined.withColumn("_d", differ("seq", "cigar", "_ref")).select(*reads.columns, "_d.nm", "_d.md")

@@ -194,3 +194,85 @@ def pair_counts(calls: DataFrame, groups: list[str]) -> DataFrame:
     """Matrix of significant calls (group_1, group_2) by group pair."""
     wide = calls.groupBy("group_1").pivot("group_2", groups).agg(F.count(F.lit(1)))
     return wide.select("group_1", *(F.coalesce(F.col(g), F.lit(0)).cast("long").alias(g) for g in groups))
+
+
+# -- permutations, pairwise tests, calls
+
+
+def shuffled_labels(samples: DataFrame, permutations: int = 1000, seed: int = 1) -> DataFrame:
+    """(perm, sample, group): the groups' labels dealt anew to the samples, group sizes kept, the same for one seed.
+
+    ``samples`` (sample, group) is the design, a row per sample; the result has a row per permutation and sample.
+    """
+    spark = samples.sparkSession
+    slots = samples.select(F.row_number().over(Window.orderBy("group", "sample")).alias("_rn"), "group")
+    grid = spark.range(permutations).withColumnRenamed("id", "perm").crossJoin(F.broadcast(samples.select("sample")))
+    order = Window.partitionBy("perm").orderBy(F.xxhash64("perm", "sample", F.lit(seed)), "sample")
+    return grid.withColumn("_rn", F.row_number().over(order)).join(F.broadcast(slots), "_rn").select("perm", "sample", "group")
+
+
+def permuted_genes(rows: DataFrame, labels: DataFrame, s: DataFrame, s0: float) -> DataFrame:
+    """(perm, gene, d) with labels (perm, sample, group) in the groups' place; s (gene, s) stays as observed."""
+    per = rows.select("gene", "sample", "expr").join(labels, "sample").groupBy("perm", "gene", "group").agg(F.count("*").alias("n"), F.avg("expr").alias("m"))
+    grand = rows.groupBy("gene").agg(F.avg("expr").alias("grand"))
+    r = per.join(grand, "gene").groupBy("perm", "gene").agg(F.try_divide(F.sum(F.col("n") * F.pow(F.col("m") - F.col("grand"), 2.0)), F.count("*") - 1).alias("r"))
+    return moderated(r.join(s.select("gene", "s"), "gene"), s0).select("perm", "gene", "d").where("d is not null")  # one group has no statistic
+
+
+def permuted_asms(rows: DataFrame, labels: DataFrame, s: DataFrame, s0: float) -> DataFrame:
+    """(perm, asm, d): as permuted_genes(), by divergences of group means from the grand mean."""
+    per = rows.select("asm", "path", "sample", "prop").join(labels, "sample").groupBy("perm", "asm", "group", "path").agg(F.avg("prop").alias("m"), F.count_distinct("sample").alias("n"))
+    share = per.withColumn("p", F.coalesce(F.try_divide("m", F.sum("m").over(Window.partitionBy("perm", "asm", "group"))), F.lit(0.0)))
+    grand = mean_distributions(rows).withColumnRenamed("share", "q")
+    div = share.join(grand, ["asm", "path"]).groupBy("perm", "asm", "group").agg(F.sum(jsd_term(F.col("p"), F.col("q"))).alias("v"), F.max("n").alias("n"))
+    r = div.groupBy("perm", "asm").agg(F.try_divide(F.sum(F.col("n") * F.col("v")), F.count("*") - 1).alias("r"))
+    return moderated(r.join(s.select("asm", "s"), "asm"), s0).select("perm", "asm", "d").where("d is not null")
+
+
+def pairwise_genes(rows: DataFrame, s: DataFrame, s0: float) -> DataFrame:
+    """(gene, group_1, group_2, d): difference of two group means over s + s0, group_1 before group_2."""
+    m = group_means(rows, "gene")
+    both = m.withColumnsRenamed({"group": "group_1", "mean": "a"}).join(m.withColumnsRenamed({"group": "group_2", "mean": "b"}), "gene").where("group_1 < group_2")
+    return both.join(s.select("gene", "s"), "gene").select("gene", "group_1", "group_2", ((F.col("a") - F.col("b")) / (F.col("s") + s0)).alias("d"))
+
+
+def pairwise_asms(rows: DataFrame, s: DataFrame, s0: float) -> DataFrame:
+    """(asm, group_1, group_2, d): root divergence of two group means over root s plus the root of s0 and the low-expression penalty.
+
+    ``s`` may hold ``s_expr``, the penalty; without it there is none.
+    """
+    low = F.col("s_expr") + s0 if "s_expr" in s.columns else F.lit(s0)
+    both = pairwise_jsd(rows).join(s, "asm")
+    return both.select("asm", "group_1", "group_2", (F.sqrt(F.greatest("jsd", F.lit(0.0))) / (F.sqrt("s") + F.sqrt(low))).alias("d"))
+
+
+def low_expression(rows: DataFrame, s: DataFrame) -> DataFrame:
+    """``s`` (asm, s) with s_expr: the saturation of an ASM's mean abundance, scaled by 1.3 times the largest s."""
+    from ..functions.stats import saturation
+
+    mean = rows.groupBy("asm", "sample").agg(F.sum("expr").alias("e")).groupBy("asm").agg(F.avg("e").alias("e"))
+    top = s.agg(F.max("s").alias("top"))  # one row
+    return s.join(mean, "asm").crossJoin(F.broadcast(top)).select(*s.columns, (saturation(F.col("e")) * F.col("top") * 1.3).alias("s_expr"))
+
+
+def with_expected(observed: DataFrame, expected: DataFrame) -> DataFrame:
+    """``observed`` (..., d) with rank and expected: the mean statistic of its rank under permutation; a row per gene or module."""
+    ranked = observed.where("d is not null").withColumn("rank", F.row_number().over(Window.orderBy("d")))
+    return ranked.join(expected, "rank")
+
+
+def gene_calls(tested: DataFrame, folds: DataFrame, cutoff: float, fold: float = 2.0, least: float = 3.0) -> DataFrame:
+    """``tested`` (gene, d, expected) with its fold change and ``significant``: far enough from what is expected, by cutoff and ``least``, and of this fold."""
+    far = F.abs(F.col("d") - F.col("expected"))
+    return tested.join(folds, "gene").withColumn("significant", F.coalesce((far >= cutoff) & (far >= least) & (F.col("fold") >= fold), F.lit(False)))
+
+
+def asm_calls(tested: DataFrame, divergence: DataFrame, cutoff: float, root: float = 0.1) -> DataFrame:
+    """``tested`` (asm, d, expected) with its largest divergence and ``significant``: beyond the cutoff and of this root divergence."""
+    far = F.abs(F.col("d") - F.col("expected"))
+    return tested.join(divergence, "asm").withColumn("significant", (far >= cutoff) & (F.sqrt(F.greatest("jsd", F.lit(0.0))) >= root))
+
+
+def rejected(rows: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """Rows of what a filter left out."""
+    return rows.join(kept.select(key), key, "left_anti")

@@ -19,6 +19,7 @@ _READS = {
     "mapq": "l_suppkey % 61",
     "isize": "(l_partkey % 7 - 3) * 100",
     "qual": "l_quantity",
+    "rnext": "case when l_suppkey % 4 = 0 then concat('chr', cast((l_linenumber + l_suppkey) % 3 as string)) else '=' end",
 }
 _GROUP = "case when cell % 3 = 0 then 'G1' when cell % 3 = 1 then 'S' else 'G2M' end"
 
