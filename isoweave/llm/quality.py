@@ -1,15 +1,16 @@
 """Quality classification by hierarchical empirical Bayes.
 
-A document classifier (logistic regression over the text's form, fitted on a bounded sample of labelled rows) gives
-each document's evidence. Grouped aggregation sums the evidence by host and by path within a host; a host's
-posterior is a beta mean shrunk toward the global prior, a path's is shrunk toward its host's, each with a prior
-strength estimated by moments from how much the groups differ beyond chance. The document's log odds are then moved
-by its path's log odds against the global prior, by no more than SITE_WEIGHT times that.
+A document classifier (logistic regression over the text's form and its hashed words and word pairs, fitted on a
+bounded sample of labelled rows) gives each document's evidence. Grouped aggregation sums the evidence by host and by
+path within a host; a host's posterior is a beta mean shrunk toward the global prior, a path's is shrunk toward its
+host's, each with a prior strength estimated by moments from how much the groups differ beyond chance. The document's
+log odds are then moved by its path's log odds against the global prior, by no more than SITE_WEIGHT times that.
 """
 
 from __future__ import annotations
 
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,11 @@ from .common import text_batches, unused, written
 
 #: Labelled rows that the document classifier is fitted on at most: those of smallest hash.
 TRAIN_ROWS = 2000
-SITE_WEIGHT, THRESHOLD, RIDGE = 0.25, 0.5, 1e-3
+SITE_WEIGHT, THRESHOLD, RIDGE, GRAM_RIDGE = 0.25, 0.5, 1e-3, 3e-3
+#: Buckets that words and word pairs are hashed to (a power of two), words whose hashes a worker keeps.
+BUCKETS, WORDS = 1 << 16, 300_000
+#: Newton steps for all weights.
+GRAM_STEPS = 4
 #: Group posteriors up to so many rows (a few tens of bytes each) are broadcast, more are joined by shuffle.
 BROADCAST_ROWS = 50_000
 #: Strengths between which an estimated prior is held, in rows.
@@ -43,9 +48,34 @@ def form(text: str) -> list[float]:
     return [letters, upper, min(symbols * 5, 2.0), min(pipes * 2, 2.0), min(shouts, 2.0), repeats, distinct / (1 + np.log(n) / 10), min(sentences * 5, 2.0), length, min(np.log1p(n) / 8, 1.5)]
 
 
+class _Buckets(dict):
+    """word -> bucket, for as many words as a worker keeps."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS:
+            self.clear()
+        value = self[word] = crc32(word.encode("utf-8", "surrogatepass"))
+        return value
+
+
+def ngrams(text: str, known: dict) -> np.ndarray:
+    """Distinct hashed words and word pairs of a text that has a word, A-Z and their like in lower case."""
+    words = text.lower().split()
+    own = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    pairs = (own[:-1] * 0x9E3779B1 ^ own[1:]) * 0x85EBCA77 >> 7
+    return np.unique(np.concatenate([own, pairs]) & (BUCKETS - 1))
+
+
 class Model:
-    def __init__(self, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray, prior: float):
+    """Weights of a text's form (the first is the bias) and of its hashed n-grams, which count 1 / sqrt of their number."""
+
+    def __init__(self, weights: np.ndarray, mean: np.ndarray, scale: np.ndarray, prior: float, grams: np.ndarray | None = None):
         self.weights, self.mean, self.scale, self.prior = weights, mean, scale, prior
+        self.grams = np.zeros(BUCKETS, np.float32) if grams is None else grams.astype(np.float32)
+        self.known = _Buckets()
+
+    def __getstate__(self):
+        return self.__dict__ | {"known": _Buckets()}
 
     def evidence(self, texts) -> np.ndarray:
         """Probability that each text is good; 0 for texts without a word, and the prior where nothing was learned."""
@@ -53,30 +83,59 @@ class Model:
         some = [i for i, t in enumerate(texts) if t and not t.isspace()]
         if some:
             x = (np.array([form(texts[i]) for i in some]) - self.mean) / self.scale
-            out[some] = 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0], -30, 30)))
+            grams = np.array([self.grams[g].sum() / len(g) ** 0.5 for g in (ngrams(texts[i], self.known) for i in some)])
+            out[some] = 1 / (1 + np.exp(-np.clip(x @ self.weights[1:] + self.weights[0] + grams, -30, 30)))
         return out
 
 
 def fit(texts: list[str], good: list[int]) -> Model:
-    """Logistic regression by Newton's method with a small ridge."""
-    rows = [(form(t), g) for t, g in zip(texts, good, strict=True) if t and not t.isspace()]
+    """Logistic regression with ridges: Newton's method for the form alone, then a few steps for all weights by conjugate gradients."""
+    rows = [(t, g) for t, g in zip(texts, good, strict=True) if t and not t.isspace()]
     y = np.array([g for _, g in rows], float)
     if not rows or y.min() == y.max():
         prior = float(y.mean()) if rows else 0.5
         k, p = len(form("a")), min(max(prior, 0.01), 0.99)
         return Model(np.append(np.log(p / (1 - p)), np.zeros(k)), np.zeros(k), np.ones(k), p)
-    x = np.array([f for f, _ in rows])
+    x = np.array([form(t) for t, _ in rows])
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     z = np.column_stack([np.ones(len(x)), (x - mean) / scale])
-    w, ridge = np.zeros(z.shape[1]), RIDGE * len(x) * np.eye(z.shape[1])
-    ridge[0, 0] = 0
+    known = _Buckets()
+    grams = [ngrams(t, known) for t, _ in rows]
+    size = np.array([len(g) for g in grams])
+    at, start, each = np.concatenate(grams), np.concatenate([[0], np.cumsum(size)[:-1]]), np.repeat(size**-0.5, size)
+    used, at = np.unique(at, return_inverse=True)
+    d = z.shape[1]
+    ridge = len(x) * np.concatenate([[0], np.full(d - 1, RIDGE), np.full(len(used), GRAM_RIDGE)])
+    dot = lambda v: z @ v[:d] + np.add.reduceat(v[d:][at] * each, start)
+    turned = lambda u: np.concatenate([z.T @ u, np.bincount(at, np.repeat(u, size) * each, len(used))])
+    w = np.zeros(d + len(used))
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (y - p) - ridge @ w)
-        w += step
+        p = 1 / (1 + np.exp(-np.clip(z @ w[:d], -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(ridge[:d]), z.T @ (y - p) - ridge[:d] * w[:d])
+        w[:d] += step
         if np.abs(step).max() < 1e-8:
             break
-    return Model(w, mean, scale, float(y.mean()))
+    for _ in range(GRAM_STEPS):
+        p = 1 / (1 + np.exp(-np.clip(dot(w), -30, 30)))
+        curve = p * (1 - p) + 1e-9
+        slope = turned(y - p) - ridge * w
+        scaled = 1 / (ridge + np.concatenate([(z * z * curve[:, None]).sum(axis=0), np.bincount(at, np.repeat(curve, size) * each**2, len(used))]))
+        step, rest = np.zeros_like(w), slope
+        way = near = scaled * rest
+        size_of = rest @ near
+        first = size_of
+        for _ in range(3 * GRAM_STEPS):
+            if size_of <= 1e-6 * first:
+                break
+            ahead = turned(curve * dot(way)) + ridge * way
+            by = size_of / (way @ ahead)
+            step, rest = step + by * way, rest - by * ahead
+            near = scaled * rest
+            way, size_of = near + (rest @ near) / size_of * way, rest @ near
+        w = w + step
+    out = np.zeros(BUCKETS)
+    out[used] = w[d:]
+    return Model(w[:d], mean, scale, float(y.mean()), out)
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:

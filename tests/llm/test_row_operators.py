@@ -326,3 +326,73 @@ def test_sample_of_repeated_ids_is_bounded(spark, monkeypatch):
     language_id.train(one, rows=50)
     quality.train(one, spark.createDataFrame([(3, 1)], "doc_id long, quality int"), rows=50)
     assert [len(x) for x in fitted] == [50, 50]
+
+
+def test_quality_is_learned_from_words():
+    """Texts of one form whose words alone tell good from bad, held out."""
+    rng = random.Random(6)
+    good, bad = [["%s%d" % (c, i) for i in range(60)] for c in ("ga", "ba")]
+    make = lambda own: " ".join(rng.choice(own if rng.random() < 0.3 else ["n%d" % rng.randrange(80)]) for _ in range(60)) + "."
+    rows = [(make(good if i % 2 else bad), i % 2) for i in range(400)]
+    model = quality.fit([t for t, _ in rows[:300]], [g for _, g in rows[:300]])
+    p = model.evidence([t for t, _ in rows[300:]] + ["", " ", None])
+    assert np.mean((p[:100] >= 0.5) == [g == 1 for _, g in rows[300:]]) >= 0.95 and list(p[100:]) == [0, 0, 0]
+
+
+def test_site_posteriors_by_hand(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", "y", None]), rng.random() * (0.4 if i % 3 else 1)) for i in range(200)] + [("rare", "x", 0.9)]
+    got = {(r._host, r._path): (r.path_post, r.host_post, r.prior) for r in quality.site_posteriors(spark.createDataFrame(rows, "h string, d string, _p double"), "h", "d").collect()}
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for h, d, p in rows:
+        hosts[h].append(p)
+        paths[h, d].append(p)
+    n, prior = len(rows), sum(p for *_, p in rows) / len(rows)
+    square = lambda groups: sum(sum(v) ** 2 / len(v) for v in groups.values())
+    within = max((sum(p * p for *_, p in rows) - square(paths)) / (n - len(paths)), 1e-6)
+    spread = lambda a, k, groups: (a - k * within) / (n - sum(len(v) ** 2 for v in groups.values()) / n)
+    b_h = spread(square(hosts) - n * prior**2, len(hosts) - 1, hosts)
+    b_p = spread(square(paths) - square(hosts), len(paths) - len(hosts), paths)
+    lo, hi = quality.STRENGTH
+    k_h, k_p = (min(max(within / b, lo), hi) if b > 0 else hi for b in (b_h, b_p))
+    post = {h: (k_h * prior + sum(v)) / (k_h + len(v)) for h, v in hosts.items()}
+    for (h, d), v in paths.items():
+        assert got[h, d] == pytest.approx(((k_p * post[h] + sum(v)) / (k_p + len(v)), post[h], prior))
+    assert len(got) == len(paths) and abs(got["rare", "x"][0] - prior) < abs(0.9 - prior)
+
+
+def test_kernel_landmarks_and_ridge_by_hand():
+    """Margins of the weights per n-gram against kernel values between texts and landmarks, one by one."""
+    rng = random.Random(9)
+    alphabet = {"p": "abcde", "q": "defgh", "r": "hijab"}
+    texts, labels = [], []
+    for i in range(45):
+        labels.append("pqr"[i % 3])
+        texts.append(" ".join("".join(rng.choices(alphabet[labels[-1]], k=rng.randrange(1, 7))) for _ in range(rng.randrange(1, 9))))
+    model = language_id.fit(texts, labels, landmarks=7)
+    grams = lambda t: {f" {w} "[i : i + n] for w in t.lower().split() for n in range(1, 5) for i in range(len(w) + 3 - n)}
+    chosen = [i for c in "pqr" for i in [j for j, l in enumerate(labels) if l == c][:7]]
+    known = set().union(*(grams(texts[i]) for i in chosen))
+    sets = [grams(t) & known for t in texts]
+    kernel = np.array([[len(a & sets[i]) / np.sqrt(max(len(a), 1) * max(len(sets[i]), 1)) for i in chosen] for a in sets])
+    y = np.array(["pqr".index(l) for l in labels])
+    t = np.where(y[:, None] == np.arange(3), 1.0, -1.0)
+    bias = t.mean(axis=0)  # the languages have equally many rows
+    alpha = np.linalg.solve(kernel.T @ kernel + language_id.RIDGE * 45 * (kernel[chosen] + 1e-6 * np.eye(21)), kernel.T @ (t - bias))
+    assert np.abs(model.margins(texts) - (kernel @ alpha + bias)).max() < 1e-3
+
+
+def test_rollup_query_by_counting(spark):
+    pytest.importorskip("public_tokenizers")
+    from isoweave.llm import queries
+    from isoweave.llm.common import table
+    from isoweave.llm.tokenizers import byte_level, public_path, word_level
+
+    sf, want = "/root/testdata/sf0.001", defaultdict(lambda: [0, 0])
+    coders = {n: f(public_path(f"{n}.json")) for n, f in (("byte_bpe_50k", byte_level), ("word_bpe_49k", word_level))}
+    for r in table(spark, sf, "documents").collect():
+        for name, enc in coders.items():
+            own = want[r.source, r.lang, name]
+            own[0] += 1
+            own[1] += len(enc.tok.encode(r.text or "", add_special_tokens=False).ids)
+    assert {(r.source, r.lang, r.version): [r.n_docs, r.n_tokens] for r in queries.op7_token_counts(spark, sf).collect()} == dict(want)
