@@ -6,6 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bases of a bin: positions of a chromosome are dealt to as many tasks as it has bins, and a bin's totals are carried on.
+CARRY = 1 << 20
+
+
+def _carried(rows: DataFrame, keys: list[str], aggregates: dict[str, Column], carry: dict[str, Column]) -> DataFrame:
+    """``rows`` (with _bin) with ``carry``: windows over their key's other bins, each of which is one row of ``aggregates``.
+
+    So a key's rows never meet in one task: they are shuffled by key and bin. Null keys are keys.
+    """
+    bins = rows.groupBy(*keys, "_bin").agg(*(c.alias(n) for n, c in aggregates.items()))
+    named = bins.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_bin"])), *aggregates)
+    sides = named.select(*(f"_k{i}" for i in range(len(keys) + 1)), *(c.alias(n) for n, c in carry.items()))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, "_bin"])]
+    return rows.join(sides, same).drop(*(f"_k{i}" for i in range(len(keys) + 1)))
+
+
+def _windows(keys: list[str], *order):
+    """The window of a key's bins, and that of a bin's rows in ``order``."""
+    return Window.partitionBy(*(f"_k{i}" for i in range(len(keys)))).orderBy(f"_k{len(keys)}"), Window.partitionBy(*keys, "_bin").orderBy(*order)
+
+
+def _in_bins(rows: DataFrame, at: str, width: int) -> DataFrame:
+    return rows.withColumn("_bin", F.floor(F.col(at) / width))
+
+
+_BEFORE, _UPTO, _AFTER = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0), (1, Window.unboundedFollowing)
+
+
 def _bins(low: Column, high: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(low / width).cast("bigint"), F.floor(high / width).cast("bigint")))
 
@@ -23,21 +51,26 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, a_range: tuple[str, str],
     return joined.where((al <= bh) & (bl <= ah) & first).drop("_bin")
 
 
-def islands(ranges: DataFrame, key: str, low: str, high: str, gap: int = 1) -> DataFrame:
+def islands(ranges: DataFrame, key: str, low: str, high: str, gap: int = 1, width: int = CARRY) -> DataFrame:
     """``ranges`` with ``island``: a new one begins where a range starts more than ``gap`` past all before it."""
-    order = Window.partitionBy(key).orderBy(low, high)
-    before = F.max(high).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col(low) > before + gap), 1).otherwise(0)
-    return ranges.withColumn("_new", new).withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    binned = _in_bins(ranges, low, width)
+    bins, own = _windows([key], low, high)
+    reach = _carried(binned, [key], {"_top": F.max(high)}, {"_reach": F.max("_top").over(bins.rowsBetween(*_BEFORE))})
+    before = F.greatest("_reach", F.max(high).over(own.rowsBetween(*_BEFORE)))
+    marked = reach.withColumn("_before", before).withColumn("_new", F.when(F.col("_before").isNull() | (F.col(low) > F.col("_before") + gap), 1).otherwise(0))
+    counted = _carried(marked.drop("_reach", "_before"), [key], {"_n": F.sum("_new")}, {"_base": F.coalesce(F.sum("_n").over(bins.rowsBetween(*_BEFORE)), F.lit(0))})
+    return counted.withColumn("island", F.col("_base") + F.sum("_new").over(own.rowsBetween(*_UPTO))).select(*ranges.columns, "island")
 
 
-def coverage_runs(fragments: DataFrame, keys: list[str], low: str = "start", high: str = "end", n: str = "n") -> DataFrame:
+def coverage_runs(fragments: DataFrame, keys: list[str], low: str = "start", high: str = "end", n: str = "n", width: int = CARRY) -> DataFrame:
     """(keys, start, end, depth) runs of equal depth above zero, from +n and -n at the ends and no row per base."""
     ends = fragments.select(*keys, F.explode(F.array(F.struct(F.col(low).alias("at"), F.col(n).alias("d")), F.struct((F.col(high) + 1).alias("at"), (-F.col(n)).alias("d")))).alias("e"))
-    steps = ends.groupBy(*keys, F.col("e.at").alias("start")).agg(F.sum("e.d").alias("d")).where("d != 0")
-    order = Window.partitionBy(*keys).orderBy("start")
-    depth = F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    runs = steps.select(*keys, "start", (F.lead("start").over(order) - 1).alias("end"), depth.cast("long").alias("depth"))
+    steps = _in_bins(ends.groupBy(*keys, F.col("e.at").alias("start")).agg(F.sum("e.d").alias("d")).where("d != 0"), "start", width)
+    bins, own = _windows(keys, "start")
+    carry = {"_base": F.coalesce(F.sum("_sum").over(bins.rowsBetween(*_BEFORE)), F.lit(0)), "_next": F.lead("_first").over(bins)}
+    rows = _carried(steps, keys, {"_sum": F.sum("d"), "_first": F.min("start")}, carry)
+    depth = F.col("_base") + F.sum("d").over(own.rowsBetween(*_UPTO))
+    runs = rows.select(*keys, "start", (F.coalesce(F.lead("start").over(own), "_next") - 1).alias("end"), depth.cast("long").alias("depth"))
     return runs.where("depth > 0")
 
 
@@ -55,24 +88,32 @@ def splice_sites(junctions: DataFrame) -> DataFrame:
     return junctions.select("chrom", F.explode(ends).alias("s"), "n").groupBy("chrom", "s.position", "s.direction").agg(F.sum("n").alias("n"))
 
 
-def segments(sites: DataFrame) -> DataFrame:
+def segments(sites: DataFrame, width: int = CARRY) -> DataFrame:
     """Exon segments between neighbouring splice sites, with their kind of alternative site.
 
     in-out: an exon (0), out-out: an alternative donor (1), in-in: an alternative acceptor (2), out-in: -1.
     """
-    order = Window.partitionBy("chrom").orderBy("position", F.when(F.col("direction") == "in", 0).otherwise(1))
-    nxt = sites.select("chrom", F.col("position").alias("low"), F.col("direction").alias("a"), F.lead("position").over(order).alias("high"), F.lead("direction").over(order).alias("b")).where("high is not null")
+    site = F.struct("position", F.when(F.col("direction") == "in", 0).otherwise(1).alias("turn"), "direction")
+    rows = _in_bins(sites.select("chrom", "position", site.alias("site")), "position", width)
+    bins, own = _windows(["chrom"], "site")
+    rows = _carried(rows, ["chrom"], {"_first": F.min("site")}, {"_next": F.lead("_first").over(bins)})
+    nxt = rows.select("chrom", F.col("position").alias("low"), F.col("site.direction").alias("a"), F.coalesce(F.lead("site").over(own), "_next").alias("next"))
+    nxt = nxt.select("chrom", "low", "a", F.col("next.position").alias("high"), F.col("next.direction").alias("b")).where("high is not null")
     low = F.col("low") + F.when(F.col("a") == "out", 1).otherwise(0)
     high = F.col("high") - F.when(F.col("b") == "in", 1).otherwise(0)
     kind = F.when((F.col("a") == "in") & (F.col("b") == "out"), 0).when((F.col("a") == "out") & (F.col("b") == "out"), 1).when((F.col("a") == "in") & (F.col("b") == "in"), 2).otherwise(-1)
     return nxt.select("chrom", low.alias("low"), high.alias("high"), kind.alias("kind")).where("low <= high")
 
 
-def visual_ids(exons: DataFrame, key: str = "chrom") -> DataFrame:
+def visual_ids(exons: DataFrame, key: str = "chrom", width: int = CARRY) -> DataFrame:
     """Exon numbers that go up by 1 to an adjacent exon and by 2 across a gap."""
-    order = Window.partitionBy(key).orderBy("low", "high")
-    step = F.when(F.lag("high").over(order).isNull(), 1).when(F.col("low") <= F.lag("high").over(order) + 1, 1).otherwise(2)
-    return exons.withColumn("_s", step).withColumn("vis_id", F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
+    bins, own = _windows([key], "low", "high")
+    rows = _carried(_in_bins(exons, "low", width), [key], {"_end": F.max_by("high", F.struct("low", "high"))}, {"_last": F.lag("_end").over(bins)})
+    before = F.coalesce(F.lag("high").over(own), "_last")
+    rows = rows.withColumn("_before", before)
+    rows = rows.withColumn("_s", F.when(F.col("_before").isNull() | (F.col("low") <= F.col("_before") + 1), 1).otherwise(2)).drop("_last", "_before")
+    rows = _carried(rows, [key], {"_sum": F.sum("_s")}, {"_base": F.coalesce(F.sum("_sum").over(bins.rowsBetween(*_BEFORE)), F.lit(0))})
+    return rows.withColumn("vis_id", F.col("_base") + F.sum("_s").over(own.rowsBetween(*_UPTO))).select(*exons.columns, "vis_id")
 
 
 def site_in_reference(sites: DataFrame, reference: DataFrame) -> DataFrame:
@@ -100,17 +141,21 @@ def complete_junctions(junctions: DataFrame, exons: DataFrame) -> DataFrame:
     return junctions.join(starts, ["chrom", "start"], "left_semi").join(ends, ["chrom", "end"], "left_semi")
 
 
-def relative_introns(features: DataFrame) -> DataFrame:
+def relative_introns(features: DataFrame, width: int = CARRY) -> DataFrame:
     """Introns whose coverage is at least half of the better covered neighbouring exon; ones without an exon go.
 
     features: (chrom, low, high, kind: exon or intron, coverage).
     """
-    order = Window.partitionBy("chrom").orderBy("low", "high")
+    bins, own = _windows(["chrom"], "low", "high")
     exon = F.when(F.col("kind") == "exon", F.col("coverage"))
-    prev = F.last(exon, True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    nxt = F.first(exon, True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    marked = features.withColumn("_top", F.greatest(prev, nxt))
-    return marked.where("kind = 'exon' or (_top is not null and coverage >= _top / 2)").drop("_top")
+    place = F.when(F.col("kind") == "exon", F.struct("low", "high"))
+    ends = {"_first": F.min_by(exon, place), "_last": F.max_by(exon, place)}
+    carry = {"_left": F.last("_last", True).over(bins.rowsBetween(*_BEFORE)), "_right": F.first("_first", True).over(bins.rowsBetween(*_AFTER))}
+    rows = _carried(_in_bins(features, "low", width), ["chrom"], ends, carry)
+    prev = F.coalesce(F.last(exon, True).over(own.rowsBetween(*_BEFORE)), "_left")
+    nxt = F.coalesce(F.first(exon, True).over(own.rowsBetween(*_AFTER)), "_right")
+    marked = rows.withColumn("_top", F.greatest(prev, nxt))
+    return marked.where("kind = 'exon' or (_top is not null and coverage >= _top / 2)").select(*features.columns)
 
 
 def gene_labels(events: DataFrame, genes: DataFrame, key: str = "chrom") -> DataFrame:

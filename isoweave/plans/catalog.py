@@ -200,8 +200,8 @@ def coverage_rle(s, d):
 @query("""SELECT x.chrom, x.low, x.high, round(coalesce(sum(f.n * (least(x.high, f."end") - greatest(x.low, f.start) + 1)), 0) / (x.high - x.low + 1), 6) AS coverage
 FROM ex x LEFT JOIN (SELECT chrom, start, "end", count(*) AS n FROM e GROUP BY ALL) f ON x.chrom = f.chrom AND x.low <= f."end" AND f.start <= x.high GROUP BY x.chrom, x.low, x.high""", "reads e ex")
 def exon_mean_coverage(s, d):
-    exons = _exons(s, d).withColumn("exon", F.struct("low", "high"))
     frags = fr.exon_fragments(views.reads(s, d)).groupBy("chrom", "start", "end").agg(F.count("*").alias("n"))
+    exons = frags.select("chrom", F.col("start").alias("low"), F.col("end").alias("high"), F.struct(F.col("start").alias("low"), F.col("end").alias("high")).alias("exon"))
     return _r(iv.mean_coverage(exons, frags, "chrom").select("chrom", "exon.low", "exon.high", "coverage"), "coverage")
 
 
@@ -446,10 +446,13 @@ def _norm(s, d):
     return ra.normalized(views.asm_long(s, d), views.depth(s, d))
 
 
+def _level(norm):
+    return norm.groupBy("asm", "path").agg(F.avg("norm").alias("m")).agg(F.percentile("m", F.lit(0.5))).first()[0]
+
+
 def _paths(s, d):
     norm = _norm(s, d)
-    level = norm.groupBy("asm", "path").agg(F.avg("norm").alias("m")).agg(F.percentile("m", F.lit(0.5))).first()[0]
-    return norm, ra.expressed(norm, level)
+    return norm, ra.expressed(norm, _level(norm))
 
 
 def _cells(s, d):
@@ -547,9 +550,7 @@ def null_variance_test(s, d):
 
 @query()
 def ratio_tests(s, d):
-    norm, paths = _paths(s, d)
-    level = norm.groupBy("asm", "path").agg(F.avg("norm").alias("m")).agg(F.percentile("m", F.lit(0.5))).first()[0]
-    return ra.ratio_tests(views.asm_long(s, d), views.depth(s, d), _stages(s, d), _NOISE, level, 10)
+    return ra.ratio_tests(views.asm_long(s, d), views.depth(s, d), _stages(s, d), _NOISE, _level(_norm(s, d)), 10)
 
 
 # -- kernels

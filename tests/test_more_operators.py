@@ -103,3 +103,38 @@ def test_fudge_factor_by_loops(spark):
         best = min(best or (np.inf, 0, 0), (cv, alpha, s0))
     got = differential.fudge_factor(spark.createDataFrame(list(zip(r.tolist(), s.tolist(), strict=True)), "r double, s double"))
     assert got == pytest.approx(best[2])
+
+
+@pytest.mark.parametrize("width", [7, 50, 1 << 20])
+def test_carried_windows_by_loops(spark, width):
+    """Islands, coverage, exon numbers and intron filter over bins of any width, null chromosomes among them."""
+    from isoweave.operators import intervals
+
+    rng = np.random.default_rng(width)
+    chroms = ["a", "b", None]
+    rows = sorted({(chroms[int(c)], int(x), int(x + n)) for c, x, n in zip(rng.integers(0, 3, 90), rng.integers(0, 400, 90), rng.integers(0, 25, 90), strict=True)}, key=lambda r: (str(r[0]), r[1], r[2]))
+    df = spark.createDataFrame([(c, lo, hi, 1, "exon" if (lo + hi) % 3 else "intron", float((lo * 7 + hi) % 11)) for c, lo, hi in rows], "chrom string, low long, high long, n long, kind string, coverage double")
+    want_island, want_vis, want_intron, want_runs = {}, {}, set(), set()
+    for c in chroms:
+        own = [(lo, hi) for k, lo, hi in rows if k == c]
+        top, island, vis, last = None, 0, 0, None
+        for lo, hi in own:
+            island += top is None or lo > top + 1
+            vis += 1 if last is None or lo <= last + 1 else 2
+            top, last = hi if top is None else max(top, hi), hi
+            want_island[c, lo, hi], want_vis[c, lo, hi] = island, vis
+        cover = np.zeros(500, int)
+        for lo, hi in own:
+            cover[lo : hi + 1] += 1
+        at = [0, *(np.flatnonzero(np.diff(cover)) + 1).tolist(), 500]
+        want_runs |= {(c, a, b - 1, int(cover[a])) for a, b in zip(at[:-1], at[1:], strict=True) if cover[a]}
+        level = lambda lo, hi: float((lo * 7 + hi) % 11)
+        for i, (lo, hi) in enumerate(own):
+            exon = lambda part: next((level(*x) for x in part if sum(x) % 3), None)
+            near = [x for x in (exon(own[:i][::-1]), exon(own[i + 1 :])) if x is not None]
+            if (lo + hi) % 3 or near and level(lo, hi) >= max(near) / 2:
+                want_intron.add((c, lo, hi))
+    assert {(r.chrom, r.low, r.high): r.island for r in intervals.islands(df, "chrom", "low", "high", width=width).collect()} == want_island
+    assert {(r.chrom, r.low, r.high): r.vis_id for r in intervals.visual_ids(df, width=width).collect()} == want_vis
+    assert {(r.chrom, r.low, r.high) for r in intervals.relative_introns(df, width=width).collect()} == want_intron
+    assert {tuple(r) for r in intervals.coverage_runs(df, ["chrom"], "low", "high", width=width).collect()} == want_runs
