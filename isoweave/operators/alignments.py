@@ -51,7 +51,7 @@ def depth(reads: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of depth over aligned bases (deletions and gaps left out), not a row per base."""
     from .intervals import coverage_runs
 
-    blocks = reads.where(~has(UNMAPPED)).select(*keys, F.inline(cigar.exons(F.col("pos"), F.col("cigar")))).withColumn("n", F.lit(1).cast("long"))
+    blocks = cigar.inlined(reads.where(~has(UNMAPPED)), cigar.exons, *keys).withColumn("n", F.lit(1).cast("long"))
     return coverage_runs(blocks, keys)
 
 
@@ -195,7 +195,7 @@ def pileup(reads: DataFrame, min_mapq: int = 0, min_quality: int = 13, orphans:
     kept = reads.where((F.col("flag").bitwiseAND(skip) == 0) & (F.col("mapq") >= min_mapq))
     if not orphans:
         kept = kept.where(~has(PAIRED) | has(PROPER))
-    blocks = kept.select("chrom", "mapq", has(REVERSE).alias("rev"), "seq", "qual", F.inline(cigar.aligned_blocks(F.col("pos"), F.col("cigar"))))
+    blocks = cigar.inlined(kept.withColumn("rev", has(REVERSE)), cigar.aligned_blocks, "chrom", "mapq", "rev", "seq", "qual")
     bases = blocks.select("chrom", "mapq", "rev", "start", "query", "seq", "qual", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     at = lambda c: F.substring(F.col(c), (F.col("query") + F.col("i") + 1).cast("int"), F.lit(1))
     own = F.ascii(at("qual")) - 33
@@ -208,7 +208,7 @@ def pileup(reads: DataFrame, min_mapq: int = 0, min_quality: int = 13, orphans:
 def position_depth(reads: DataFrame, keys: list[str], min_mapq: int = 0, min_quality: int = 0) -> DataFrame:
     """(keys, pos, depth) of aligned bases of a quality and more, deletions and gaps left out."""
     kept = reads.where(~has(UNMAPPED) & (F.col("mapq") >= min_mapq))
-    blocks = kept.select(*keys, "qual", F.inline(cigar.aligned_blocks(F.col("pos"), F.col("cigar"))))
+    blocks = cigar.inlined(kept, cigar.aligned_blocks, *keys, "qual")
     bases = blocks.select(*keys, "qual", "start", "query", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     good = F.ascii(F.substring(F.col("qual"), (F.col("query") + F.col("i") + 1).cast("int"), F.lit(1))) - 33 >= min_quality
     return (bases.where(good) if min_quality else bases).groupBy(*keys, (F.col("start") + F.col("i")).alias("pos")).agg(F.count("*").alias("depth"))

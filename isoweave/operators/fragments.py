@@ -17,12 +17,12 @@ def mapped(reads: DataFrame) -> DataFrame:
 
 def exon_fragments(reads: DataFrame) -> DataFrame:
     """(sample_id, chrom, start, end) of every aligned block."""
-    return mapped(reads).select("sample_id", "chrom", F.inline(cigar.exons(F.col("pos"), F.col("cigar"))))
+    return cigar.inlined(mapped(reads), cigar.exons, "sample_id", "chrom")
 
 
 def junction_reads(reads: DataFrame) -> DataFrame:
     """(sample_id, chrom, xs, start, end) of every spliced gap."""
-    return mapped(reads).select("sample_id", "chrom", "xs", F.inline(cigar.junctions(F.col("pos"), F.col("cigar"))))
+    return cigar.inlined(mapped(reads), cigar.junctions, "sample_id", "chrom", "xs")
 
 
 def fragment_counts(fragments: DataFrame) -> DataFrame:
