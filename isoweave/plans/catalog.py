@@ -604,17 +604,6 @@ def changepoint(s, d):
     return _depth_by_gene(s, d).groupBy("gene").applyInPandas(run, "gene long, segment long, start long")
 
 
-@query("""SELECT gene, CAST(min(rn) - 1 AS BIGINT) AS "first", CAST(max(rn) - 1 AS BIGINT) AS "last" FROM (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY spot) AS rn FROM (SELECT o_custkey % 20 AS gene, o_orderkey AS spot, o_totalprice + CASE WHEN o_orderkey % 4000 > 2000 THEN 200000 ELSE 0 END AS v FROM orders)) WHERE v >= 300000 GROUP BY gene""")
-def trim_exons(s, d):
-    def run(key, pdf):
-        import pandas as pd
-
-        t = kernels.trim(pdf.sort_values("at").v.to_numpy(), 300000)
-        return pd.DataFrame([(key[0], *t)] if t else [], columns=["gene", "first", "last"])
-
-    return _depth_by_gene(s, d).groupBy("gene").applyInPandas(run, "gene long, first long, last long")
-
-
 # -- lines and alignments
 
 

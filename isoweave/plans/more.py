@@ -8,8 +8,10 @@ from ..functions import stats as S
 from ..operators import alignments as al
 from ..operators import assembly as asm
 from ..operators import differential as de
+from ..operators import fragments as fr
 from ..operators import intervals as iv
 from ..operators import sequences as sq
+from ..operators import trimming as tr
 from . import views
 from .catalog import _CTE, _PAIRS, _R, _RATIO, _WITHIN, _asm_rows, _exons, _gene_rows, _junctions, _observed, _paths, _permuted, _r, query
 
@@ -149,6 +151,50 @@ def bottom_up_counts(s, d):
     return _r(asm.fragment_counts_up(leaves.unionByName(comps).unionByName(regions), 2), "support")
 
 
+# -- trimming
+
+
+_BASES_OF = """SELECT o_orderkey {div} 150 AS feature, o_orderkey % 150 AS position, CASE WHEN o_orderkey {div} 150 % 4 = 1 THEN 'intron' ELSE 'exon' END AS kind, CASE o_orderkey {div} 150 % 4 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS site, o_orderkey {div} 150 % 11 = 10 AS annotated,
+CASE k WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 6 + o_custkey % 3 WHEN 4 THEN 60 + o_custkey % 3 WHEN 5 THEN 70 + o_custkey % 5 WHEN 6 THEN 900 + o_custkey % 9 WHEN 7 THEN 1000 ELSE 12 END AS depth FROM (SELECT *, (o_orderkey {div} 150 * 7 + o_orderkey % 150 {div} 30 * 5) % 9 AS k FROM orders)"""
+_CTE["tb"] = _BASES_OF.format(div="//")
+_SHARP = """SELECT *, CASE WHEN i = 0 THEN 20.0 WHEN i = n - 1 THEN 0.0 WHEN (lmin > rmax AND r < 1 AND l >= 0.5) OR (lmax < rmin AND r > 1 AND g >= 0.5) THEN r ELSE 1.0 END AS ratio FROM (SELECT *, CASE WHEN l > 0 THEN g / l ELSE 20.0 END AS r FROM (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER f AS n,
+avg(depth) OVER b AS l, min(depth) OVER b AS lmin, max(depth) OVER b AS lmax, avg(depth) OVER a AS g, min(depth) OVER a AS rmin, max(depth) OVER a AS rmax, max(depth) OVER f / CAST(4 AS DOUBLE) AS peak, sum(depth) OVER f AS total, max(depth) OVER a AS ahead, coalesce(sum(depth) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p
+FROM tb WINDOW f AS (PARTITION BY feature), w AS (PARTITION BY feature ORDER BY position), b AS (PARTITION BY feature ORDER BY position ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY feature ORDER BY position ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)))"""
+_CTE["sharp"] = _SHARP
+
+
+def _bases(s, d):
+    return views._sql(s, d, _BASES_OF.format(div="div"), "orders").withColumn("depth", F.col("depth").cast("long"))
+
+
+@query('SELECT chrom, low, high, position, CAST(sum(n) AS BIGINT) AS depth FROM (SELECT *, unnest(generate_series(low, high)) AS position FROM ex) x JOIN (SELECT chrom, start, "end", count(*) AS n FROM e GROUP BY ALL) f USING (chrom) WHERE position BETWEEN start AND "end" GROUP BY ALL', "reads e ex")
+def exon_base_depth(s, d):
+    frags = fr.fragment_counts(fr.exon_fragments(views.reads(s, d))).groupBy("chrom", "start", "end").agg(F.sum("n").alias("n"))
+    exons = frags.select("chrom", F.col("start").alias("low"), F.col("end").alias("high"), F.struct(F.col("start").alias("low"), F.col("end").alias("high")).alias("exon"))
+    x = tr.feature_bases(exons, iv.coverage_runs(frags, ["chrom"]), ["exon"])
+    return x.select("chrom", "exon.low", "exon.high", "position", "depth")
+
+
+@query("SELECT feature, position, round(ratio, 6) AS ratio FROM sharp", "tb sharp")
+def change_ratio(s, d):
+    return _r(tr.change_ratio(_bases(s, d), ["feature"], 0.5).select("feature", "position", "ratio"), "ratio")
+
+
+_RUNS = """SELECT feature, low, high, support, t FROM (SELECT feature, min(position) FILTER (starts) AS low, max(position) AS high, arg_max(p, position) - min(p) FILTER (starts) AS support, any_value(t) AS t FROM (
+SELECT *, coalesce(sum(CASE WHEN stop THEN 1 ELSE 0 END) OVER (PARTITION BY feature ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part, NOT stop AND CASE WHEN kind = 'exon' THEN depth > 4 * t ELSE ratio > 10 AND depth >= 4 * t END AS starts FROM (
+SELECT *, i = n - 1 OR ((depth <= 4 * t OR ratio < 0.1) AND CASE WHEN kind = 'exon' AND peak <= 5 THEN i + 50 >= n OR ahead <= 4 * t WHEN kind = 'exon' THEN i + 1 >= n OR depth <= 4 * t ELSE i + 1 >= n OR depth <= 2 END) AS stop FROM (
+SELECT *, CASE WHEN kind = 'exon' THEN greatest(peak * CAST(0.01 AS DOUBLE), 0.5) ELSE 1.0 END AS t FROM sharp WHERE site = 0 AND NOT (kind = 'exon' AND annotated)))) GROUP BY feature, part) WHERE low IS NOT NULL AND high - low + 1 >= 5 AND support >= 4 * t * (high - low + 1)"""
+_SITE = """SELECT feature, low, high, support FROM (SELECT feature, coalesce(low, 0) AS low, coalesce(high, n - 1) AS high, coalesce(support, total) AS support, low IS NOT NULL AS cut FROM (SELECT feature, any_value(n) AS n, any_value(total) AS total, first(low ORDER BY rank DESC, tie DESC) FILTER (rank >= 5) AS low, first(high ORDER BY rank DESC, tie DESC) FILTER (rank >= 5) AS high, first(kept ORDER BY rank DESC, tie DESC) FILTER (rank >= 5) AS support FROM (
+SELECT *, CASE WHEN gone < 1 THEN CASE WHEN site = 2 AND n - i <= 1 THEN 0 ELSE 1e9 END WHEN kept_n = 0 THEN 0 ELSE (kept / kept_n) / (gone / gone_n) END AS rank, CASE WHEN site = 1 THEN i ELSE n - i END AS tie FROM (
+SELECT *, CASE WHEN site = 1 THEN i ELSE 0 END AS low, CASE WHEN site = 1 THEN n - 1 ELSE i - 1 END AS high, CASE WHEN site = 1 THEN p ELSE total - p END AS gone, CASE WHEN site = 1 THEN total - p ELSE p END AS kept, CASE WHEN site = 1 THEN i ELSE n - i END AS gone_n, CASE WHEN site = 1 THEN n - i ELSE i END AS kept_n FROM sharp WHERE site > 0 AND NOT annotated) WHERE site = 2 OR i > 0) GROUP BY feature)) WHERE high - low + 1 >= CASE WHEN cut THEN 5 ELSE 1 END AND support >= 2 * (high - low + 1)"""
+
+
+@query(f"""SELECT feature, low, high, CAST(support AS BIGINT) AS support, low = 0 AS "first", high = n - 1 AS "last" FROM (SELECT feature, low, high, support FROM ({_RUNS}) UNION ALL SELECT * FROM ({_SITE})
+UNION ALL SELECT feature, 0, max(n) - 1, max(total) FROM sharp WHERE annotated AND kind = 'exon' GROUP BY feature) JOIN (SELECT DISTINCT feature, n FROM sharp) USING (feature)""", "tb sharp")
+def trim_exons(s, d):
+    return tr.trimmed(_bases(s, d), ["feature"], 4, 0.5, 1.0)
+
+
 # -- statistics
 
 

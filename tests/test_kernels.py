@@ -94,7 +94,6 @@ def test_change_points_and_cuts():
     x = np.concatenate([np.full(150, 1.0), np.full(150, 30.0)]) + np.random.default_rng(0).normal(0, 0.1, 300)
     assert kernels.change_points(x, 5, 100) == [0, 150]
     assert kernels.best_cut(x) == 150
-    assert kernels.trim(np.array([0, 0, 5, 9, 0]), 5) == (2, 3) and kernels.trim(np.zeros(3), 1) is None
     assert np.allclose(kernels.wavelet_smooth(np.full(64, 3.0)), 3.0)
     assert kernels.viterbi_target(np.array([0] * 50 + [9] * 50 + [0] * 50)).sum() == 50
 
