@@ -159,12 +159,18 @@ def subsequence(sequences: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def in_ranges(reads: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Reads that overlap any of the 0-based half-open ranges (chrom, low, high) of a BED set."""
+    """Reads that overlap any of the 0-based half-open ranges (chrom, low, high) of a BED set, each as often as it is there.
+
+    A read is kept with its first range alone, the one before which all ranges in order of their starts end before the
+    read. A chromosome's ranges are ordered in one task; reads are not.
+    """
     from .intervals import overlap_join
 
     keyed = reads.withColumns({"_low": F.col("pos"), "_high": F.col("pos") + F.greatest(cigar.reference_length(F.col("cigar")), F.lit(1)) - 1})
     bed = ranges.select("chrom", F.col("low").alias("_bl"), (F.col("high") - 1).alias("_bh")).where("_bl <= _bh")
-    return overlap_join(keyed, bed, "chrom", ("_low", "_high"), ("_bl", "_bh")).select(*reads.columns).distinct()
+    before = Window.partitionBy("chrom").orderBy("_bl", "_bh").rowsBetween(Window.unboundedPreceding, -1)
+    pairs = overlap_join(keyed, bed.withColumn("_before", F.max("_bh").over(before)), "chrom", ("_low", "_high"), ("_bl", "_bh"))
+    return pairs.where(F.col("_before").isNull() | (F.col("_before") < F.col("_low"))).select(*reads.columns)
 
 
 def merged(files: dict[str, DataFrame], region: tuple[str, int, int] | None = None) -> DataFrame:

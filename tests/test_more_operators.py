@@ -138,3 +138,14 @@ def test_carried_windows_by_loops(spark, width):
     assert {(r.chrom, r.low, r.high): r.vis_id for r in intervals.visual_ids(df, width=width).collect()} == want_vis
     assert {(r.chrom, r.low, r.high) for r in intervals.relative_introns(df, width=width).collect()} == want_intron
     assert {tuple(r) for r in intervals.coverage_runs(df, ["chrom"], "low", "high", width=width).collect()} == want_runs
+
+
+def test_equal_reads_in_ranges_all_stay(spark):
+    """Before, reads that agree in all columns came out as one."""
+    rng = np.random.default_rng(3)
+    reads = [(c, int(p), f"{n}M") for c, p, n in zip(rng.choice(["a", "b"], 60), rng.integers(0, 6000, 60), rng.integers(1, 3000, 60), strict=True)] * 2
+    bed = [(c, int(x), int(x + n)) for c, x, n in zip(rng.choice(["a", "c"], 12), rng.integers(0, 6000, 12), rng.integers(-1, 2500, 12), strict=True)]
+    bed += bed[:2]
+    got = alignments.in_ranges(spark.createDataFrame(reads, "chrom string, pos long, cigar string"), spark.createDataFrame(bed, "chrom string, low long, high long"))
+    want = [r for r in reads if any(c == r[0] and x < y and r[1] < y and r[1] + int(r[2][:-1]) > x for c, x, y in bed)]
+    assert want and len(want) < len(reads) and sorted(map(tuple, got.collect())) == sorted(want)
