@@ -103,18 +103,29 @@ def moments(spike: DataFrame) -> DataFrame:
     return per.select("transcript", "mean", (F.col("var") / (F.col("mean") * F.col("mean"))).alias("cv2"), "zeros", "n")
 
 
-def fit_noise(spike: DataFrame, cutoff: float = 1000.0) -> dict[str, float]:
-    """a0, a1 of cv2 = a0 + a1 / mean (gamma, identity link) and b0, b1 of the dropout's logit over ln(mean + 1)."""
+def fit_noise(spike: DataFrame, cutoff: float = 1000.0) -> dict[str, float | None]:
+    """a0, a1 of cv2 = a0 + a1 / mean (gamma, identity link) and b0, b1 of the dropout's logit over ln(mean + 1).
+
+    Transcripts without expression have no part in either. A pair is null where it has not two different means to fit
+    on, since no line is determined there.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
     rows = moments(spike).where("mean > 0")
+    used = (F.col("mean") > cutoff) & (F.col("cv2") > 0)
+    usable, all_ = rows.agg(F.count_distinct(F.when(used, 1 / F.col("mean"))), F.count_distinct(F.log(F.col("mean") + 1))).first()
+    found: dict[str, float | None] = dict.fromkeys(("a0", "a1", "b0", "b1"))
     one = lambda df, x: VectorAssembler(inputCols=[x], outputCol="x").transform(df)
-    gamma = GeneralizedLinearRegression(family="gamma", link="identity", featuresCol="x", labelCol="cv2", maxIter=100)
-    noise = gamma.fit(one(rows.where(F.col("mean") > cutoff).where("cv2 > 0").withColumn("inv", 1 / F.col("mean")), "inv"))
-    logit = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="x", labelCol="share", weightCol="weight", maxIter=100)
-    drop = logit.fit(one(rows.withColumns({"l": F.log(F.col("mean") + 1), "share": F.col("zeros") / F.col("n"), "weight": F.col("n").cast("double")}), "l"))
-    return {"a0": noise.intercept, "a1": float(noise.coefficients[0]), "b0": drop.intercept, "b1": float(drop.coefficients[0])}
+    if usable > 1:
+        gamma = GeneralizedLinearRegression(family="gamma", link="identity", featuresCol="x", labelCol="cv2", maxIter=100)
+        noise = gamma.fit(one(rows.where(used).withColumn("inv", 1 / F.col("mean")), "inv"))
+        found |= {"a0": noise.intercept, "a1": float(noise.coefficients[0])}
+    if all_ > 1:
+        logit = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="x", labelCol="share", weightCol="weight", maxIter=100)
+        drop = logit.fit(one(rows.withColumns({"l": F.log(F.col("mean") + 1), "share": F.col("zeros") / F.col("n"), "weight": F.col("n").cast("double")}), "l"))
+        found |= {"b0": drop.intercept, "b1": float(drop.coefficients[0])}
+    return found
 
 
 def null_variance(observations: DataFrame, noise: dict[str, float], cells: int, simulations: int = SIMULATIONS, seed: int = 1) -> DataFrame:

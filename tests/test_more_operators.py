@@ -161,3 +161,15 @@ def test_relative_introns_of_one_dense_bin(spark):
     kept = np.append(np.maximum(level[:-1], level[1:]) <= 4, level[-1] <= 4)
     assert "FOLLOWING" not in (plan := intervals.relative_introns(rows)._jdf.queryExecution().optimizedPlan().toString().upper()) and "UNBOUNDEDPRECEDING" in plan
     assert intervals.relative_introns(rows).count() == len(level) + 999 * int(kept.sum())
+
+
+def test_noise_without_expression_is_null(spark):
+    """Before, spike-ins without expression, as in larger copies of the tables, were an error."""
+    from isoweave.operators import ratio
+
+    rows = lambda *levels: spark.createDataFrame([(t, c, v * ((c + t) % 6 > t % 2) * (1 + c % (2 + t))) for t, v in enumerate(levels) for c in range(6)], "transcript long, cell long, value double")
+    nothing = dict.fromkeys(("a0", "a1", "b0", "b1"))
+    assert ratio.fit_noise(rows(0.0, 0.0, 0.0), 0.0) == nothing
+    assert ratio.fit_noise(rows(0.0, 5.0), 0.0) == nothing
+    fitted = ratio.fit_noise(rows(5.0, 8.0, 20.0), 15.0)  # one transcript above the cutoff
+    assert fitted["a0"] is fitted["a1"] is None and fitted["b0"] is not None and fitted["b1"] is not None
