@@ -30,6 +30,10 @@ K1, B = 1.2, 0.75
 
 #: Weights of a shard that are held as a table (4 bytes each), for terms that one document in DENSE_SHARE has.
 DENSE_CELLS, DENSE_SHARE = 16_000_000, 64
+#: Terms whose weights are computed, documents whose weights of common terms are summed at once.
+CHUNK_TERMS, HELD_AT_ONCE = 4096, 2048
+#: Pieces of an Arrow batch: with the ids a few MB.
+BATCH_PIECES = 1024
 #: Neighbours that are sorted first.
 FIRST_NEIGHBOURS = 32
 
@@ -42,14 +46,30 @@ class Index:
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
         lengths = np.fromiter(map(len, docs), np.int64, n)
-        owner, terms = np.repeat(np.arange(n, dtype=np.int64), lengths), np.concatenate(docs).astype(np.int64)
-        keys, tf = np.unique(terms << 32 | owner, return_counts=True)
+        # arrays of a shard's ids are reused or freed as soon as they can be: they are what bounds a worker's memory
+        keys = np.concatenate(docs).astype(np.int64)
+        keys <<= 32
+        keys |= np.repeat(np.arange(n, dtype=np.int32), lengths)
+        keys.sort()
+        new = np.empty(len(keys), bool)
+        new[:1] = True
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        at = np.flatnonzero(new)
+        tf = np.diff(at, append=len(keys)).astype(np.int32)
+        keys = keys[at]
+        del new, at
         self.doc = (keys & 0xFFFFFFFF).astype(np.int32)
-        self.terms, first, df = np.unique(keys >> 32, return_index=True, return_counts=True)
+        keys >>= 32
+        self.terms, first, df = np.unique(keys, return_index=True, return_counts=True)
         self.bounds = np.append(first, len(keys))
+        del keys
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(lengths.mean(), 1e-9))
-        self.weight = (np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
+        self.weight = np.empty(len(tf), np.float32)
+        for a in range(0, len(self.terms), CHUNK_TERMS):
+            own, own_df = slice(self.bounds[a], self.bounds[min(a + CHUNK_TERMS, len(self.terms))]), df[a : a + CHUNK_TERMS]
+            self.weight[own] = np.repeat(idf[a : a + CHUNK_TERMS], own_df) * tf[own] * (K1 + 1) / (tf[own] + norm[self.doc[own]])
+        del tf
         term_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), df)[np.argsort(self.doc, kind="stable")]
         #: each document's distinct terms, as positions in self.terms
         self.query = np.split(term_of, np.cumsum(np.bincount(self.doc, minlength=n))[:-1])
@@ -61,9 +81,9 @@ class Index:
         self.row_of = np.full(len(self.terms), -1, np.int32)
         self.row_of[often] = np.arange(len(often), dtype=np.int32)
         self.dense = np.zeros((len(often), n), np.float32)
-        row = self.row_of[np.repeat(np.arange(len(self.terms)), df)]
-        kept = row >= 0
-        self.dense[row[kept], self.doc[kept]] = self.weight[kept]
+        for row, term in enumerate(often):
+            own = slice(self.bounds[term], self.bounds[term + 1])
+            self.dense[row, self.doc[own]] = self.weight[own]
 
     def _forget(self, unused: np.ndarray) -> None:
         """Drop the postings of used documents, which no query returns again; weights stay."""
@@ -71,7 +91,11 @@ class Index:
         self.bounds = np.concatenate([[0], np.cumsum(kept)])[self.bounds]
         self.doc, self.weight = self.doc[kept], self.weight[kept]
         kept = unused[self.held]
-        self.held, self.dense = self.held[kept], np.ascontiguousarray(self.dense[:, kept])
+        self.held = self.held[kept]
+        cells, rows, n = self.dense.reshape(-1), len(self.dense), len(self.held)
+        for i in range(rows):  # in place: no second table
+            cells[i * n : (i + 1) * n] = self.dense[i, kept]
+        self.dense = cells[: rows * n].reshape(rows, n)
 
     def neighbours(self, seed: int, unused: np.ndarray):
         """Unused documents that share a term with the seed, best first; ties in order of the shard."""
@@ -85,7 +109,9 @@ class Index:
         size = self.bounds[rare + 1] - first
         at = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
         score = np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32)
-        score[self.held] += self.dense[rows[rows >= 0]].sum(axis=0)
+        rows = rows[rows >= 0]
+        for a in range(0, len(self.held), HELD_AT_ONCE):
+            score[self.held[a : a + HELD_AT_ONCE]] += self.dense[rows, a : a + HELD_AT_ONCE].sum(axis=0)
         found = np.flatnonzero((score > 0) & unused)
         most = FIRST_NEIGHBOURS
         while most < len(found):  # a window seldom takes more than a few, so that few are sorted
@@ -171,8 +197,8 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = True, id_col: st
             nonlocal base
             arrays = [np.frombuffer(t, "<u4") for t in texts]
             pieces = pack_shard(arrays)
-            for a in range(0, len(pieces), 20_000):
-                own = pieces[a : a + 20_000]
+            for a in range(0, len(pieces), BATCH_PIECES):
+                own = pieces[a : a + BATCH_PIECES]
                 raw = [texts[d][4 * s : 4 * (s + n)] for d, s, n, _, _ in own]
                 yield arrow_rows(schema, {"doc_id": [ids[p[0]] for p in own], "start": [p[1] for p in own], "length": [p[2] for p in own], "ids_crc32": [zlib.crc32(x) for x in raw], "doc_tokens": [len(arrays[p[0]]) for p in own], "sequence_id": [base + p[3] for p in own], "offset": [p[4] for p in own], "ids": raw})
             base += pieces[-1][3] + 1
