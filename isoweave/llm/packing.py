@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, text_batches
-from .tokenizers import END_BYTES, word_level
+from .common import arrow_rows, grouped, text_batches
+from .tokenizers import CUT_BYTES, word_level
 
 #: Ids that a sequence has; ids that a shard holds at least (a document is never split between shards).
 WINDOW, SHARD_IDS = 4096, 4_000_000
@@ -90,11 +90,11 @@ class Index:
         kept = unused[self.doc]
         self.bounds = np.concatenate([[0], np.cumsum(kept)])[self.bounds]
         self.doc, self.weight = self.doc[kept], self.weight[kept]
-        kept = unused[self.held]
+        kept = np.flatnonzero(unused[self.held])
         self.held = self.held[kept]
         cells, rows, n = self.dense.reshape(-1), len(self.dense), len(self.held)
         for i in range(rows):  # in place: no second table
-            cells[i * n : (i + 1) * n] = self.dense[i, kept]
+            cells[i * n : (i + 1) * n] = self.dense[i].take(kept)
         self.dense = cells[: rows * n].reshape(rows, n)
 
     def neighbours(self, seed: int, unused: np.ndarray):
@@ -189,25 +189,24 @@ def pack(docs: DataFrame, tokenizer_path: str, with_ids: bool = True, id_col: st
     def run(batches):
         from pyspark import TaskContext
 
-        encode, task, shards = word_level(tokenizer_path), TaskContext.get().partitionId(), 0
-        ids, texts, held = [], [], 0
+        encode, task = word_level(tokenizer_path).many, TaskContext.get().partitionId()
+        ids, texts, held = [], [], 0  # texts: their ids, 4 bytes each
         base = task << 36
 
         def shard():
             nonlocal base
-            arrays = [np.frombuffer(t, "<u4") for t in texts]
-            pieces = pack_shard(arrays)
+            pieces = pack_shard(texts)
             for a in range(0, len(pieces), BATCH_PIECES):
                 own = pieces[a : a + BATCH_PIECES]
-                raw = [texts[d][4 * s : 4 * (s + n)] for d, s, n, _, _ in own]
-                yield arrow_rows(schema, {"doc_id": [ids[p[0]] for p in own], "start": [p[1] for p in own], "length": [p[2] for p in own], "ids_crc32": [zlib.crc32(x) for x in raw], "doc_tokens": [len(arrays[p[0]]) for p in own], "sequence_id": [base + p[3] for p in own], "offset": [p[4] for p in own], "ids": raw})
+                raw = [texts[d][s : s + n].tobytes() for d, s, n, _, _ in own]
+                yield arrow_rows(schema, {"doc_id": [ids[p[0]] for p in own], "start": [p[1] for p in own], "length": [p[2] for p in own], "ids_crc32": [zlib.crc32(x) for x in raw], "doc_tokens": [len(texts[p[0]]) for p in own], "sequence_id": [base + p[3] for p in own], "offset": [p[4] for p in own], "ids": raw})
             base += pieces[-1][3] + 1
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in grouped(batches, CUT_BYTES):
+            for doc_id, text in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 ids.append(doc_id)
-                texts.append(encode(text or "") + END_BYTES)
-                held += len(texts[-1]) // 4
+                texts.append(text)
+                held += len(text)
                 if held >= SHARD_IDS:
                     yield from shard()
                     ids, texts, held = [], [], 0

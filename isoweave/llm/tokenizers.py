@@ -13,6 +13,8 @@ import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Units that a cache holds at most, and the longest unit that it keeps.
 CACHE_UNITS, CACHE_CHARS = 500_000, 64
@@ -21,6 +23,9 @@ CACHE_UNITS, CACHE_CHARS = 500_000, 64
 END_ID = 2
 END_BYTES = END_ID.to_bytes(4, "little")
 
+#: Bytes of texts that WordEncoder.many() cuts at once; a longer text is encoded by itself.
+CUT_BYTES = 1 << 21
+
 
 def public_path(name: str) -> str:
     """Where a public vocabulary file is on this machine."""
@@ -101,7 +106,7 @@ class _Encoder:
         return pack_ids(self.tok.encode(text, add_special_tokens=False).ids)
 
     def _word(self, word: str) -> bytes:
-        shown = word if _KEEPS(word) else word.encode().decode("latin-1").translate(_ALPHABET)
+        shown = word if word.isalpha() and word.isascii() or _KEEPS(word) else word.encode().decode("latin-1").translate(_ALPHABET)
         return pack_ids([t.id for t in self.tokenize(shown)])
 
 
@@ -141,11 +146,29 @@ class ByteLevelEncoder(_Encoder):
             return self._library(text)
 
 
+#: Kinds of bytes in many(): odd ones are the apostrophe, which may begin a contraction, and those beyond ASCII, but for
+#: the letters U+00C0 to U+00FF. These are _LATIN and a second byte (of which two are no letters, those up to _LAST_UPPER
+#: upper case).
+_SPACE, _LETTER, _DIGIT, _OTHER, _ODD = range(5)
+_LATIN, _NO_LETTERS, _LAST_UPPER = 0xC3, (0x97, 0xB7), 0x9E
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def _kinds() -> np.ndarray:
+    import regex
+
+    def kind(char: str) -> int:
+        return next((k for k, p in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_DIGIT, r"\p{N}")) if regex.match(p, char)), _OTHER)
+
+    return np.array([_ODD if char == "'" else kind(char) for char in map(chr, range(128))] + [_ODD] * 128, np.uint8)
+
+
 class WordEncoder(_Encoder):
     """Ids of the word-end vocabulary: white space is dropped and always cuts, so each unit is encoded by itself."""
 
     def __init__(self, path: str):
         super().__init__(path, _WORD_LEVEL)
+        self.kinds = _kinds()
 
     def _unit(self, unit: str) -> bytes:
         if not unit:
@@ -162,6 +185,65 @@ class WordEncoder(_Encoder):
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.join, text.replace("\n", " ").split(" ")))
 
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text and END_ID after them, the same as by one call per text; nulls count as empty."""
+        texts = pc.fill_null(texts, "")
+        ends, out = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), []
+        while (lo := len(out)) < len(texts):
+            most = (int(ends[lo - 1]) if lo else 0) + CUT_BYTES
+            if ends[lo] > most:
+                out.append(np.frombuffer(self(texts[lo].as_py()) + END_BYTES, "<u4"))
+            else:
+                out += self._cut_at_once(texts.slice(lo, int(np.searchsorted(ends, most, side="right")) - lo).cast(pa.string()))
+        return out
+
+    def _cut_at_once(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """Words are found where the kind of byte changes, and each distinct one is looked up once.
+
+        A unit between white space that has an odd byte is a word here, and is encoded as a unit.
+        """
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        kind, low = self.kinds[data], _LOWER[data]
+        second = np.flatnonzero(data == _LATIN) + 1
+        second = second[~np.isin(data[second], _NO_LETTERS)]
+        kind[second] = kind[second - 1] = _LETTER
+        second = second[data[second] <= _LAST_UPPER]
+        low[second] = data[second] + 0x20
+        begins = np.zeros(len(data) + 1, bool)
+        begins[at] = True
+        begins = begins[:-1]
+        if some_odd := bool((kind == _ODD).any()):
+            gap, new = kind == _SPACE, begins.copy()
+            new[1:] |= gap[1:] != gap[:-1]
+            unit = np.cumsum(new, dtype=np.int32)
+            odd = np.zeros(unit[-1] + 1, bool)
+            odd[unit[kind == _ODD]] = True
+            odd = odd[unit]
+            kind[odd], low[odd] = _ODD, data[odd]
+        new = begins | (kind == _DIGIT)
+        new[1:] |= kind[1:] != kind[:-1]
+        kept = kind != _SPACE
+        first = np.flatnonzero(new & kept)
+        place = np.cumsum(kept, dtype=np.int32)
+        place = np.append(place[first] - 1, place[-1:])
+        found = pa.StringArray.from_buffers(len(first), pa.py_buffer(place if len(place) else np.zeros(1, np.int32)), pa.py_buffer(low[kept])).dictionary_encode()
+        words, index = found.dictionary.to_numpy(zero_copy_only=False).tolist(), found.indices.to_numpy()
+        ids = list(map(self.word, words)) if not some_odd else []
+        if some_odd:
+            whole = np.zeros(len(words), bool)
+            whole[index[kind[first] == _ODD]] = True
+            ids = [self.join(w) if odd else self.word(w) for w, odd in zip(words, whole.tolist(), strict=True)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        length, begin = size[index], (np.cumsum(size) - size)[index]
+        before = np.append(0, np.cumsum(length))
+        taken = np.repeat(begin - before[:-1], length)
+        taken += np.arange(len(taken))
+        ends = before[np.searchsorted(first, at[1:])]
+        out = np.insert(np.frombuffer(b"".join(ids), "<u4")[taken], ends, END_ID)
+        return np.split(out, (ends + np.arange(1, len(ends) + 1))[:-1])
+
 
 @functools.lru_cache(maxsize=4)
 def byte_level(path: str) -> ByteLevelEncoder:

@@ -26,6 +26,23 @@ def test_cached_encoders_equal_the_library(load, name):
         assert enc(text) == pack_ids(enc.tok.encode(text, add_special_tokens=False).ids), repr(text[:60])
 
 
+def test_texts_encoded_together_equal_the_library(monkeypatch):
+    """Before, there was no many(): each word with its case and marks was looked up by itself."""
+    import pyarrow as pa
+
+    from isoweave.llm import tokenizers
+
+    enc, rng = word_level(public_path("word_bpe_49k.json")), random.Random(1)
+    many = [None, *texts(), "x's 'tis ...'s é's 1'2 É's", "a×b É×é÷ ÷ ÀÖØÞßàöøþÿ À̀a Ã ã·x", "é Ⱥ ß ¼ ²x", "\x00a\x01 \x1f\x85b\xa0c"]
+    many += ["".join(rng.choice("  \n\t\x0b\x1c\r'abXYZ12.,!é漢_-ÉÀÞß÷×øÿ\u0301") for _ in range(rng.randint(0, 80))) for _ in range(1000)]
+    want = [pack_ids(enc.tok.encode(t or "", add_special_tokens=False).ids) + END_BYTES for t in many]
+    for size in (tokenizers.CUT_BYTES, 50, 7):  # at the least, almost all texts are encoded by themselves
+        monkeypatch.setattr(tokenizers, "CUT_BYTES", size)
+        for column in (pa.array(many), pa.array(["zz", *many]).slice(1), pa.array(many, pa.large_string())):
+            assert [ids.tobytes() for ids in enc.many(column)] == want
+    assert enc.many(pa.array([], pa.string())) == []
+
+
 def test_backtracking_equals_sentencepiece():
     import sentencepiece
 
