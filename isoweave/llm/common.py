@@ -27,6 +27,16 @@ def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def small_reads(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
+    """Keep the batches of Parquet readers small: 4,096 whole texts fill arrays of tens of MB, for which the heap grows.
+
+    Like text_batches(), this stays set for the session, and a smaller value is left as it is.
+    """
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 

@@ -47,7 +47,7 @@ class Index:
         n = len(docs)
         lengths = np.fromiter(map(len, docs), np.int64, n)
         # arrays of a shard's ids are reused or freed as soon as they can be: they are what bounds a worker's memory
-        keys = np.concatenate(docs).astype(np.int64)
+        keys = np.concatenate(docs, dtype=np.int64)
         keys <<= 32
         keys |= np.repeat(np.arange(n, dtype=np.int32), lengths)
         keys.sort()

@@ -237,3 +237,29 @@ def test_packing_index_holds_no_second_copies():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 26_000_000
+
+
+def test_packing_keeps_words_without_case_and_marks():
+    """Before, 4,000 of the caches' places went to units that differ in case or marks alone."""
+    import pyarrow as pa
+
+    from isoweave.llm.tokenizers import WordEncoder
+
+    enc = WordEncoder(public_path("word_bpe_49k.json"))
+    words = ["".join(random.Random(i).choices("abcdeé", k=9)) for i in range(1000)]
+    enc.many(pa.array([" ".join(f"{w} {w.upper()} {w}. {w}***" for w in words)]))
+    assert len(enc.units) == 0 and len(enc.words) <= 1002
+
+
+def test_stages_read_small_batches(spark):
+    """Before, a reader's batch had 4,096 whole texts."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.conf.unset(name)
+    try:
+        for _, stage in corpus_pipeline.STAGES[2:]:
+            spark.conf.unset(name)
+            stage(spark, docs(spark, ["some text"]), "")
+            assert int(spark.conf.get(name)) <= 256
+    finally:
+        spark.conf.unset(name)
